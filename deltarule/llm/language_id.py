@@ -188,17 +188,34 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in steps(batches):
-            letters = np.diff(np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))[offsets]) > 0
-            for i in np.flatnonzero(~letters):
-                letters[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
-            langs, scores = model.predict(model.margins(data, offsets))
-            langs = [x if ok else UNKNOWN for x, ok in zip(langs, letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(langs, pa.string()), pa.array(np.where(letters, scores, 0.0))], ["doc_id", "lang_pred", "score"])
+        for rows, langs, scores in _predicted(batches, model):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(of, OUT)
 
 
+def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    for rows, data, offsets in steps(batches):
+        letters = np.diff(np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))[offsets]) > 0
+        for i in np.flatnonzero(~letters):
+            letters[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+        langs, scores = model.predict(model.margins(data, offsets))
+        yield rows, [x if ok else UNKNOWN for x, ok in zip(langs, letters.tolist(), strict=True)], np.where(letters, scores, 0.0)
+
+
+def relabel(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with their columns and lang set to the prediction; documents that are ``und`` go."""
+    small_batches(docs.sparkSession)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, langs, _ in _predicted(batches, model):
+            at = rows.schema.get_field_index("lang")
+            yield rows.set_column(at, "lang", pa.array(langs, pa.string())).filter(pa.array([x != UNKNOWN for x in langs]))
+
+    rows = docs.withColumn("lang", F.lit(None).cast("string"))
+    return rows.mapInArrow(of, rows.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts for every document; those with crc32(id) mod 5 = 0 are held out of training."""
     docs = table(spark, sf_dir, "documents")

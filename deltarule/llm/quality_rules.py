@@ -59,7 +59,7 @@ def _judge(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
     zstd = zstandard.ZstdCompressor(level=limits.level)
     for rows, data, offsets in steps(batches):
         first, last, bounds = word_bounds(data, offsets)
-        n_words, n_bytes = np.diff(bounds), np.diff(offsets)
+        n_words = np.diff(bounds)
         starts_char = (data & 0xC0) != 0x80
         in_word = np.zeros(len(data) + 1, np.int64)
         np.add.at(in_word, first, 1)
@@ -86,7 +86,6 @@ def _judge(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Rec
                 "base" if base_failed[i] else "incompressible" if ratio < low else "repetitive" if ratio > high
                 else "chunks" if out and out >= limits.chunk_share * len(parts) else None
             )
-        assert len(n_bytes) == rows.num_rows
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_words, word_chars, n_symbols, dup_lines, repeat_words)), pa.array(base_failed),
              pa.array([x is None for x in reasons]), pa.array(ratios, pa.float64()), pa.array(bad, pa.int64()), pa.array(chunks, pa.int64()), pa.array(reasons, pa.string())],

@@ -20,7 +20,7 @@ that adaptive execution splits. Memory of a task is bounded by the longest docum
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -160,23 +160,24 @@ def covered(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, bounds: np.ndarray,
     return np.cumsum(edge[:-1]) > 0
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """rk: the id, NO_ID for null; th: 31 bits of the text's hash; id and text."""
+def keyed(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """rk: the id, NO_ID for null; th: 31 bits of the text's hash; text; rest: a struct of the columns to keep."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rk"),
         F.xxhash64("text").bitwiseAND(0x7FFFFFFF).alias("th"),
         F.col("text").cast("string").alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("rest"),
     )
 
 
-def with_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, text and spans: list of (lo, n), the runs of repeated windows, null if none."""
+def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """rest (a struct of the columns to keep), text and spans: list of (lo, n), the runs of
+    repeated windows, null if none."""
     spark = docs.sparkSession
     small_batches(spark)
     with_checkpoints(spark)
-    base = keyed(docs)
-    runs = base.mapInArrow(_runs(plan), RUNS)
+    base = keyed(docs, keep)
+    runs = base.select("rk", "th", "text").mapInArrow(_runs(plan), RUNS)
     several = F.col("r0") < F.col("r1") if plan.earlier else F.col("c") > 1
     groups = (
         runs.groupBy("k")
@@ -209,4 +210,4 @@ def with_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
         found = found.filter("rk > r0")
     found = found.select("rk", "th", "lo", F.lit(1).cast("long").alias("n"))
     every = known[0].select(*parts).unionByName(known[1].select(*parts)).unionByName(found)
-    return base.join(every.groupBy("rk", "th").agg(as_list), ["rk", "th"], "left").select("doc_id", "text", "spans")
+    return base.join(every.groupBy("rk", "th").agg(as_list), ["rk", "th"], "left").select("rest", "text", "spans")

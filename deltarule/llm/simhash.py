@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltarule.llm.common import NO_ID, small_batches, steps, table, with_checkpoints
@@ -61,7 +61,7 @@ def fuzzy_indices() -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp, the 64-bit SimHash of word shingles, repeats included, of whole texts.
+    """doc_id, th (a hash of the text) and fp, the 64-bit SimHash of word shingles, repeats included, of whole texts.
 
     A-Z is lower-cased; shingles are ``width`` words joined by spaces, or all words of a
     shorter text; a bit is one if more than half of the shingles' XXH64 (seed 42) have it.
@@ -77,9 +77,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 words = raw[offsets[i] : offsets[i + 1]].split()
                 if words:
                     fp[i] = simhash(words, width)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(of, "doc_id long, th long, fp long")
 
 
 def simhash(words: list[bytes], width: int) -> int:
@@ -139,15 +139,34 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     paired. A null id counts as larger than every id and is never a component_id unless
     its component has no other; repeated rows give repeated results.
     """
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return _grouped(docs, width).select("doc_id", "fp", F.expr(f"nullif(least.id, {NO_ID})").alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of docs, whole, for each group of near duplicates: that with the smallest doc_id.
+
+    Of rows that share this id, one stays; a null id counts as larger than every id.
+    """
+    kept = _grouped(docs, width).select(F.col("least.id").alias("_id"), F.col("least.th").alias("_th")).distinct()
+    keyed = docs.withColumn("_id", _ids()).withColumn("_th", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
+    return keyed.join(kept, ["_id", "_th"], "left_semi").withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+
+
+def _ids() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _grouped(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, th, fp and least: id and text hash of the first document of the component."""
     with_checkpoints(docs.sparkSession)
     fps = fingerprints(docs, width).checkpoint()
-    smallest = fps.groupBy("fp").agg(F.min(ids).alias("least"))
+    smallest = fps.groupBy("fp").agg(F.min(F.struct(_ids().alias("id"), "th")).alias("least"))
     linked = components(links(fps)).withColumnsRenamed({"node": "fp", "component": "group"})
     grouped = smallest.join(linked, "fp", "left").select("fp", "least", F.coalesce("group", "fp").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    found = grouped.join(least, "group").select("fp", F.expr(f"nullif(component_id, {NO_ID})").alias("component_id"))
-    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
+    least = grouped.groupBy("group").agg(F.min("least").alias("least"))
+    found = grouped.select("fp", "group").join(least, "group").select("fp", "least")
+    return fps.join(found, "fp").select("doc_id", "th", "fp", "least")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deltarule.llm.common import steps, table, word_bounds
 from deltarule.llm.repeats import Plan, covered, spans, with_repeats
 
-OUT = "doc_id long, n_words long, n_removed long, kept_text string"
+OUT = "rest {}, n_words long, n_removed long, kept_text string"
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -27,7 +28,24 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     Returns doc_id, n_words, n_removed and kept_text: the kept words joined by one space,
     or the text itself, null included, if nothing was removed.
     """
-    return with_repeats(docs, Plan("word", window, max(2, window // 2), earlier=True)).mapInArrow(_cut(window, False), OUT)
+    return _run(docs, window, False, ["doc_id"]).select("rest.doc_id", "n_words", "n_removed", "kept_text")
+
+
+def cut(docs: DataFrame, window: int = 50) -> DataFrame:
+    """docs with their columns, repeated passages cut out of text; texts left without a word go.
+
+    A text that loses nothing stays as it is; n_chars, if there, follows the text."""
+    found = _run(docs, window, False, [c for c in docs.columns if c != "text"])
+    found = found.filter("n_removed = 0 or n_removed < n_words")
+    sizes = {"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars"))} if "n_chars" in docs.columns else {}
+    column = lambda c: F.col("kept_text") if c == "text" else sizes.get(c, F.col(f"rest.`{c}`"))
+    return found.select(*(column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _run(docs: DataFrame, window: int, digest: bool, keep: list[str]) -> DataFrame:
+    plan = Plan("word", window, max(2, window // 2), earlier=True)
+    out = OUT.format(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep))).schema[0].dataType.simpleString())
+    return with_repeats(docs, plan, keep).mapInArrow(_cut(window, digest), out.replace("kept_text", "kept_sha256") if digest else out)
 
 
 def _cut(window: int, digest: bool):
@@ -48,8 +66,8 @@ def _cut(window: int, digest: bool):
                 text = b" ".join(words)
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(lost), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
+                [rows.column("rest"), pa.array(np.diff(bounds)), pa.array(lost), pa.array(kept, pa.string())],
+                ["rest", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
             )
 
     return of
@@ -57,9 +75,7 @@ def _cut(window: int, digest: bool):
 
 def query(spark: SparkSession, sf_dir: str, window: int = 50) -> DataFrame:
     """The operator over all documents, with a digest in place of each kept text."""
-    docs = table(spark, sf_dir, "documents")
-    plan = Plan("word", window, max(2, window // 2), earlier=True)
-    return with_repeats(docs, plan).mapInArrow(_cut(window, True), OUT.replace("kept_text", "kept_sha256"))
+    return _run(table(spark, sf_dir, "documents"), window, True, ["doc_id"]).select("rest.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 SQL = r"""

@@ -61,7 +61,7 @@ def _cut(threshold: int, digest: bool):
                 kept.append(hashlib.sha256(raw).hexdigest() if digest else raw.decode("utf-8", "replace"))
                 removed.append([{"first": a, "last": b} for a, b in cuts.reshape(-1, 2).tolist()])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(lost), pa.array([len(x) for x in removed], pa.int64()), pa.array(kept, pa.string()), pa.array(removed, runs)],
+                [rows.column("rest").field("doc_id"), pa.array(np.diff(offsets)), pa.array(lost), pa.array([len(x) for x in removed], pa.int64()), pa.array(kept, pa.string()), pa.array(removed, runs)],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept_text", "removed"],
             )
 
