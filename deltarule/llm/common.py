@@ -144,3 +144,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return Rolling(BYTE_VALUE[data]).at(first, last)
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a table aggregated by the same keys.
+
+    The join runs on the complement of the first key: an aggregate already lies by its
+    keys and would be joined where it lies, in one task for all rows of a hot key. So both
+    sides are exchanged, and adaptive execution can split a hot key's rows.
+    """
+    first = keys[0]
+    by = F.bitwise_not(F.col(first))
+    return rows.withColumn("_by", by).join(totals.withColumn("_by", by).drop(first), ["_by", *keys[1:]]).drop("_by")

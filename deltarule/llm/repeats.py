@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltarule.llm.common import BYTE_VALUE, NO_ID, Rolling, small_batches, steps, with_checkpoints, word_bounds, word_hashes
+from deltarule.llm.common import BYTE_VALUE, NO_ID, Rolling, join_totals, small_batches, steps, with_checkpoints, word_bounds, word_hashes
 
 RUNS = "k long, ctx long, rk long, pk long, lo long"
 WINDOWS = "ra long, rb long, rk long, th long, lo long"
@@ -185,10 +185,10 @@ def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",))
         .filter(several)
         .select("k", "r0", (F.col("c0") != F.col("c1")).alias("mixed"))
     )
-    hits = runs.join(groups, "k").checkpoint()
+    hits = join_totals(runs, groups, ["k"]).checkpoint()
     mixed = hits.filter("mixed").select("k", "ctx", "rk", "pk", "lo")
     ctxs = mixed.groupBy("k", "ctx").agg(F.count(F.lit(1)).alias("cc"), F.min(F.struct("rk", "pk", "lo")).alias("one"))
-    mixed = mixed.join(ctxs, ["k", "ctx"])
+    mixed = join_totals(mixed, ctxs, ["k", "ctx"])
     if plan.earlier:
         known = hits.filter("not mixed and rk > r0"), mixed.filter("rk > one.rk")
         open_ = mixed.filter("rk = one.rk")
@@ -205,7 +205,7 @@ def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",))
         .filter(several)
         .select("ra", "rb", "r0")
     )
-    found = windows.join(again, ["ra", "rb"])
+    found = join_totals(windows, again, ["ra", "rb"])
     if plan.earlier:
         found = found.filter("rk > r0")
     found = found.select("rk", "th", "lo", F.lit(1).cast("long").alias("n"))
