@@ -190,14 +190,17 @@ class RuleCompiler:
         return Env(frame.withColumns(found) if found else frame, env.nullable | dict.fromkeys(found, True), guards)
 
     def _generator(self, env: Env, item: Generator) -> Env:
-        bounds = split_top(item.expression.strip().removeprefix("(").removesuffix(")") if item.expression.strip().startswith("(") and ".." in item.expression and not item.expression.strip().startswith("((") and item.expression.strip().endswith(")") and split_top(item.expression, "..")[0] == item.expression else item.expression, "..", most=1)
+        text = item.expression.strip()
+        if text.startswith("(") and text.endswith(")") and len(split_top(text, "..", most=1)) == 1:
+            text = text[1:-1]  # a range in brackets
+        bounds = split_top(text, "..", most=1)
         if len(bounds) == 2:
             low, high = self.expressions.sql(bounds[0]), self.expressions.sql(bounds[1].lstrip("="))
             high = high if bounds[1].startswith("=") else f"({high}) - 1"
             # a sequence whose end lies before its begin would run downwards
             values = F.expr(f"CASE WHEN ({high}) >= ({low}) THEN sequence({low}, {high}) END")
         else:
-            values = self.expressions.column(item.expression, env.guards)
+            values = self.expressions.column(text if text == item.expression.strip() else f"({text})", env.guards)
         frame = env.frame.withColumn("element", F.explode(values))
         env = self._let(replace(env, frame=frame), item.pattern, F.col("element"), True)
         return replace(env, frame=env.frame.drop("element") if "element" not in env.nullable else env.frame)
