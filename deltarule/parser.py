@@ -128,10 +128,12 @@ def item(text: str) -> Item:
 
 
 def _assignment(text: str) -> tuple[str, str]:
-    m = re.match(r"(.*?[^<>=!])=(?!=)(.*)", text, re.S)
-    if not m:
+    parts = split_top(text, "=")
+    first = 2 if parts[0].rstrip().endswith("..") else 1  # a closed range holds a sign of its own
+    pattern, expression = "=".join(parts[:first]).strip(), "=".join(parts[first:]).strip()
+    if not pattern or not expression:
         raise RuleError(f"expected pattern = expression: {text[:80]}")
-    return m[1].strip(), m[2].strip()
+    return pattern, expression
 
 
 def parse_dl(text: str) -> Program:
@@ -147,7 +149,7 @@ def parse_dl(text: str) -> Program:
             declared = [x.partition(":")[2].strip() for x in columns.split(",") if x.strip()]
             program.relations.append(Relation(name, tuple(parse_type(names.get(x, x)) for x in declared)))
     program.outputs = tuple(outputs) or None
-    rest = re.sub(r"\.(decl|output|input|printsize)\s+\w+\s*(\([^)]*\))?[^\n]*", " ", text)
+    rest = re.sub(r"\.(decl|output|input|printsize)\s+\w+[ \t]*(\([^)]*\))?[^\n]*", " ", text)
     for statement in (x.strip() for x in re.split(r"\.(?=\s|$)", rest)):
         if statement:
             head, arrow, body = statement.partition(":-")
