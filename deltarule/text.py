@@ -59,7 +59,7 @@ _TOKEN = re.compile(r"(?P<string>'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\")|(?P<
 #: Words of Spark SQL expressions that are never variables.
 WORDS = frozenset(
     "and or not in is null true false case when then else end between like rlike ilike regexp div cast try_cast as distinct interval date timestamp "
-    "string int integer bigint smallint tinyint double float boolean decimal binary array map struct escape any all some exists from for".split()
+    "none string int integer bigint smallint tinyint double float boolean decimal binary array map struct escape any all some exists from for".split()
 )
 
 
