@@ -12,7 +12,7 @@ AGGREGATES = ("count", "min", "max", "sum", "mean")
 
 
 def is_variable(argument: str) -> bool:
-    return bool(NAME.fullmatch(argument)) and argument != WILDCARD and argument.lower() not in ("true", "false", "null", "None")
+    return bool(NAME.fullmatch(argument)) and argument != WILDCARD and argument.lower() not in ("true", "false", "null", "none")
 
 
 @dataclass(frozen=True)
