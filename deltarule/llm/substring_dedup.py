@@ -37,9 +37,9 @@ def cut(docs: DataFrame, window: int = 50) -> DataFrame:
     A text that loses nothing stays as it is; n_chars, if there, follows the text."""
     found = _run(docs, window, False, [c for c in docs.columns if c != "text"])
     found = found.filter("n_removed = 0 or n_removed < n_words")
-    sizes = {"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars"))} if "n_chars" in docs.columns else {}
+    sizes = {"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     column = lambda c: F.col("kept_text") if c == "text" else sizes.get(c, F.col(f"rest.`{c}`"))
-    return found.select(*(column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return found.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def _run(docs: DataFrame, window: int, digest: bool, keep: list[str]) -> DataFrame:
