@@ -23,6 +23,10 @@ from deltarule.plans.rules import RuleCompiler, all_of, columns_of
 from deltarule.resolve import Region, lattice_of
 
 
+#: Rounds whose tables are joined into one.
+MERGED = 8
+
+
 @dataclass
 class Known:
     """A growing relation: its files, those of the last round, and the operator of its values."""
@@ -32,6 +36,7 @@ class Known:
     operator: str | None = None
     paths: list[str] = field(default_factory=list)
     latest: list[str] = field(default_factory=list)
+    level: dict[str, int] = field(default_factory=dict)
 
     @property
     def earlier(self) -> list[str]:
@@ -69,10 +74,24 @@ class Fixpoint:
             if not found:
                 return {n: self._whole(k) for n, k in known.items()}
             for name, k in known.items():
+                self._merge(k)
                 k.latest = found.get(name, [])
                 k.paths = k.paths + k.latest
         raise RuleError(f"no fixed point of {', '.join(known)} after {self.most_rounds} rounds")
 
+    def _merge(self, k: Known) -> None:
+        """Joins the tables of MERGED rounds into one, and these again: few tables to list and open
+        after many rounds, while a row is written again only once a level."""
+        while len(k.paths) >= MERGED and len({k.level.get(p, 0) for p in k.paths[-MERGED:]}) == 1:
+            last = k.paths[-MERGED:]
+            path, _ = self.store.write(self._read(k, last).coalesce(self._files(last)))
+            k.level[path] = k.level.get(last[0], 0) + 1
+            k.paths = [*k.paths[:-MERGED], path]
+
+    def _files(self, paths: list[str]) -> int:
+        """Enough files for about 128 MB each."""
+        return max(1, -(-sum(map(self.store.size, paths)) // (128 << 20)))
+
     def _operator(self, region: Region, name: str) -> str | None:
         rules = [r for r in region.rules if any(h.relation == name for h in r.heads)]
         heads = set(region.heads())

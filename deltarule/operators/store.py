@@ -42,6 +42,11 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def size(self, path: str) -> int:
+        """Bytes of a table."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
     def clear(self) -> None:
         """Deletes the tables; results that read them must be stored before."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

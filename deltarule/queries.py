@@ -161,8 +161,8 @@ add("bipartite", "part", GRAPH + "relation zero(i64); relation one(i64); relatio
 _BEST = "WITH RECURSIVE {edges}, b(x, c) USING KEY (x) AS (SELECT 1::BIGINT, 0::BIGINT UNION (SELECT e.y, min(b.c + {w}) FROM b JOIN edge e ON e.x = b.x LEFT JOIN recurring.b o ON o.x = e.y WHERE o.x IS NULL OR b.c + {w} < o.c GROUP BY e.y)) SELECT x, c FROM b"
 add("sssp", "part", GRAPH + library.SHORTEST.format(relation="out", seed="1", step="d + w"), "x c", _BEST.format(edges=EDGES, w="e.w"))
 add("bfs_dist", "part", GRAPH + library.SHORTEST.format(relation="out", seed="1", step="d + 1"), "x c", _BEST.format(edges=EDGES, w="1"))
-add("cc", "part", GRAPH + "relation arc(i64, i64); relation out(i64, i64); arc(x, y), arc(y, x) :- edge(x, y, _), if x % 4 = y % 4; out(x, m) :- agg m = min(x) in arc(x, _); out(y, m) :- out(x, c), agg m = min(c) in arc(x, y);", "x m",
-    f"WITH RECURSIVE {EDGES}, arc AS (SELECT x, y FROM edge WHERE x % 4 = y % 4 UNION SELECT y, x FROM edge WHERE x % 4 = y % 4), r AS (SELECT x, x AS m FROM arc UNION SELECT arc.y, r.m FROM r JOIN arc ON arc.x = r.x) SELECT x, min(m) AS m FROM r GROUP BY x")
+add("cc", "part", GRAPH + "relation arc(i64, i64); relation out(i64, i64); arc(x, y), arc(y, x) :- edge(x, y, w), if w < 25; out(x, m) :- agg m = min(x) in arc(x, _); out(y, m) :- out(x, c), agg m = min(c) in arc(x, y);", "x m",
+    f"WITH RECURSIVE {EDGES}, arc AS (SELECT x, y FROM edge WHERE w < 25 UNION SELECT y, x FROM edge WHERE w < 25), r(x, m) USING KEY (x) AS (SELECT DISTINCT x, x FROM arc UNION (SELECT arc.y, min(r.m) FROM r JOIN arc ON arc.x = r.x JOIN recurring.r o ON o.x = arc.y WHERE r.m < o.m GROUP BY arc.y)) SELECT x, m FROM r")
 add("longest_path", "turn", TURNS + "relation out(i64, i64, i64); out(c, 0, 0) :- turn(c, 0, _); out(c, y, m) :- out(c, x, d), agg m = max(d + 1) in next(c, x, y);", "c t d",
     "WITH RECURSIVE w AS (SELECT conv_id AS c, 0::BIGINT AS t FROM conversations WHERE turn = 0 UNION SELECT c, turn FROM w JOIN conversations ON conv_id = c AND turn = t + 1) SELECT c, t, t AS d FROM w")
 add("neg_in_recursion", "part", GRAPH + "relation blocked(i64); relation out(i64); blocked(k) :- part(k, _, _, s), if s > 42, if k > 40; out(1); out(y) :- out(x), edge(x, y, _), !blocked(y);", "x",
