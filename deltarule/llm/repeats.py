@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltarule.llm.common import BYTE_VALUE, NO_ID, Rolling, join_totals, small_batches, steps, with_checkpoints, word_bounds, word_hashes
+from deltarule.llm.common import BYTE_VALUE, NO_ID, Rolling, join_totals, small_batches, steps, stored, word_bounds, word_hashes
 
 RUNS = "k long, ctx long, rk long, pk long, lo long"
 WINDOWS = "ra long, rb long, rk long, th long, lo long"
@@ -175,7 +175,6 @@ def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",))
     repeated windows, null if none."""
     spark = docs.sparkSession
     small_batches(spark)
-    with_checkpoints(spark)
     base = keyed(docs, keep)
     runs = base.select("rk", "th", "text").mapInArrow(_runs(plan), RUNS)
     several = F.col("r0") < F.col("r1") if plan.earlier else F.col("c") > 1
@@ -185,7 +184,7 @@ def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",))
         .filter(several)
         .select("k", "r0", (F.col("c0") != F.col("c1")).alias("mixed"))
     )
-    hits = join_totals(runs, groups, ["k"]).checkpoint()
+    hits = stored(join_totals(runs, groups, ["k"]))
     mixed = hits.filter("mixed").select("k", "ctx", "rk", "pk", "lo")
     ctxs = mixed.groupBy("k", "ctx").agg(F.count(F.lit(1)).alias("cc"), F.min(F.struct("rk", "pk", "lo")).alias("one"))
     mixed = join_totals(mixed, ctxs, ["k", "ctx"])
