@@ -6,9 +6,7 @@ bytes never occur inside a longer code point, so bytes and characters agree.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,23 +44,6 @@ def with_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """rows from a Parquet table in the shared checkpoint folder, which cuts their lineage.
-
-    The step's shuffle files are of no more use; collecting the driver's garbage lets Spark
-    delete them now rather than at some later time."""
-    spark = rows.sparkSession
-    with_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    schema = rows.schema
-    del rows
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # events of the step refer to its plan
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
