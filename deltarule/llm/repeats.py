@@ -178,10 +178,12 @@ def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",))
     with_checkpoints(spark)
     base = keyed(docs, keep)
     runs = base.select("rk", "th", "text").mapInArrow(_runs(plan), RUNS)
-    several = F.col("r0") < F.col("r1") if plan.earlier else F.col("c") > 1
+    several = F.col("r0") < F.col("r1") if plan.earlier else F.col("r0") > 1
+    # r0: of an earlier-document plan the smallest id, else the number of rows
+    counts = [F.min("rk").alias("r0"), F.max("rk").alias("r1")] if plan.earlier else [F.count(F.lit(1)).alias("r0")]
     groups = (
         runs.groupBy("k")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.min("rk").alias("r0"), F.max("rk").alias("r1"))
+        .agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), *counts)
         .filter(several)
         .select("k", "r0", (F.col("c0") != F.col("c1")).alias("mixed"))
     )
@@ -199,12 +201,7 @@ def with_repeats(docs: DataFrame, plan: Plan, keep: Sequence[str] = ("doc_id",))
     as_list = F.collect_list(F.struct("lo", "n")).alias("spans")
     asked = open_.select(*parts).groupBy("rk", "th").agg(as_list)
     windows = base.join(asked, ["rk", "th"], "left").mapInArrow(_windows(plan), WINDOWS)
-    again = (
-        windows.groupBy("ra", "rb")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("rk").alias("r0"), F.max("rk").alias("r1"))
-        .filter(several)
-        .select("ra", "rb", "r0")
-    )
+    again = windows.groupBy("ra", "rb").agg(*counts).filter(several).select("ra", "rb", "r0")
     found = join_totals(windows, again, ["ra", "rb"])
     if plan.earlier:
         found = found.filter("rk > r0")
