@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltarule.llm.common import NO_ID, small_batches, steps, table, with_checkpoints
+from deltarule.llm.common import NO_ID, mix, small_batches, steps, table, with_checkpoints
 from deltarule.llm.components import components
 
 SEGMENTS, SEGMENT_BITS, ERRORS = 4, 16, 3
@@ -60,29 +60,30 @@ def fuzzy_indices() -> tuple[np.ndarray, np.ndarray]:
     return exact, around[:, ::-1][:, :widest].copy()
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, th (a hash of the text) and fp, the 64-bit SimHash of word shingles, repeats included, of whole texts.
+def fingerprints(docs: DataFrame, width: int = 3, copies: int = 1) -> DataFrame:
+    """doc_id, th (a hash of the text) and fps, 64-bit SimHashes of word shingles, repeats included, of whole texts.
 
     A-Z is lower-cased; shingles are ``width`` words joined by spaces, or all words of a
     shorter text; a bit is one if more than half of the shingles' XXH64 (seed 42) have it.
-    A text without words, or null, has fingerprint 0.
+    A text without words, or null, has fingerprint 0. Further copies use the same hashes,
+    scrambled, and are independent of the first.
     """
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches):
             raw = _LOWER[data].tobytes()
-            fp = np.zeros(rows.num_rows, np.uint64)
+            fps = np.zeros((rows.num_rows, copies), np.uint64)
             for i in range(rows.num_rows):
                 words = raw[offsets[i] : offsets[i + 1]].split()
                 if words:
-                    fp[i] = simhash(words, width)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
+                    fps[i] = simhash(words, width, copies)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("th"), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "th", "fps"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(of, "doc_id long, th long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(of, "doc_id long, th long, fps array<long>")
 
 
-def simhash(words: list[bytes], width: int) -> int:
+def simhash(words: list[bytes], width: int, copies: int = 1) -> list[int]:
     text = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     count = max(1, len(words) - width + 1)
@@ -90,27 +91,30 @@ def simhash(words: list[bytes], width: int) -> int:
     stops = (ends[width - 1 :] - 1).tolist() if len(words) >= width else [len(text)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(begins, stops)), np.uint64, count)
-    ones = np.zeros(64, np.int64)
-    for part in np.array_split(hashes, -(-count // 8192)):
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little")
+    out = []
+    for copy in range(copies):
+        ones = np.zeros(64, np.int64)
+        for part in np.array_split(mix(hashes + np.uint64(copy)) if copy else hashes, -(-count // 8192)):
+            ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > count, bitorder="little").tobytes(), "little"))
+    return out
 
 
 def _keys(every: bool):
-    """Keys of fingerprints: one for each segment, or all of the neighbourhood."""
+    """Keys of fingerprints (copy, fp): one for each segment, or all of the neighbourhood."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, around = fuzzy_indices()
         mask = np.uint64((1 << SEGMENT_BITS) - 1)
         for rows in batches:
-            fp = rows.column("fp").to_numpy()
+            fp, copy = rows.column("fp").to_numpy(), rows.column("copy").to_numpy().astype(np.int64)
             parts = [(fp.view(np.uint64) >> np.uint64(SEGMENT_BITS * i) & mask).astype(np.int64) for i in range(SEGMENTS)]
             keys, owners = [], []
             for i in range(SEGMENTS):
                 following = parts[(i + 1) % SEGMENTS]
                 index = around[following] if every else exact[following][:, None]
                 row, column = np.nonzero(index >= 0)
-                keys.append((i << 28) | parts[i][row] << 12 | index[row, column])
+                keys.append(copy[row] << 30 | i << 28 | parts[i][row] << 12 | index[row, column])
                 owners.append(fp[row])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "fp"])
 
@@ -118,17 +122,19 @@ def _keys(every: bool):
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """All pairs a < b of distinct fingerprints (column fp) at three or fewer differing bits.
+    """All pairs a < b of distinct fingerprints (columns copy and fp) of one copy at three or
+    fewer differing bits, as copy, a, b.
 
     A key holds few distinct fingerprints by chance (28 bits for each segment); adaptive
     execution splits the join where near copies crowd one key.
     """
     small_batches(fps.sparkSession)
-    seen = fps.select("fp").distinct()
+    seen = fps.select("copy", "fp").distinct()
     one = seen.mapInArrow(_keys(False), "key long, fp long").withColumnRenamed("fp", "a")
     several = seen.mapInArrow(_keys(True), "key long, fp long").withColumnRenamed("fp", "b")
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ERRORS)
-    return one.join(several, (one["key"] == several["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = one.join(several, (one["key"] == several["key"]) & near)
+    return pairs.select(F.shiftright(one["key"], 30).cast("int").alias("copy"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -139,15 +145,17 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     paired. A null id counts as larger than every id and is never a component_id unless
     its component has no other; repeated rows give repeated results.
     """
-    return _grouped(docs, width).select("doc_id", "fp", F.expr(f"nullif(least.id, {NO_ID})").alias("component_id"))
+    return _grouped(docs, width, 1).select("doc_id", F.col("fps")[0].alias("fp"), F.expr(f"nullif(least.id, {NO_ID})").alias("component_id"))
 
 
-def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, copies: int = 6) -> DataFrame:
     """One row of docs, whole, for each group of near duplicates: that with the smallest doc_id.
 
-    Of rows that share this id, one stays; a null id counts as larger than every id.
+    Documents link if their fingerprints of any of the copies do; further copies find more of
+    the pairs whose similarity is high but whose bits happen to differ. Of rows that share
+    the smallest id, one stays; a null id counts as larger than every id.
     """
-    kept = _grouped(docs, width).select(F.col("least.id").alias("_id"), F.col("least.th").alias("_th")).distinct()
+    kept = _grouped(docs, width, copies).select(F.col("least.id").alias("_id"), F.col("least.th").alias("_th")).distinct()
     keyed = docs.withColumn("_id", _ids()).withColumn("_th", F.xxhash64("text"))
     first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
     return keyed.join(kept, ["_id", "_th"], "left_semi").withColumn("_first", first).filter("_first = 1").select(*docs.columns)
@@ -157,16 +165,30 @@ def _ids() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
-def _grouped(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, th, fp and least: id and text hash of the first document of the component."""
+def _grouped(docs: DataFrame, width: int, copies: int) -> DataFrame:
+    """doc_id, th, fps and least: id and text hash of the first document of the component.
+
+    Documents with the same fingerprints are one class. Classes are joined through
+    fingerprints: a class belongs to the component of any of its fingerprints.
+    """
     with_checkpoints(docs.sparkSession)
-    fps = fingerprints(docs, width).checkpoint()
-    smallest = fps.groupBy("fp").agg(F.min(F.struct(_ids().alias("id"), "th")).alias("least"))
-    linked = components(links(fps)).withColumnsRenamed({"node": "fp", "component": "group"})
-    grouped = smallest.join(linked, "fp", "left").select("fp", "least", F.coalesce("group", "fp").alias("group"))
+    rows = fingerprints(docs, width, copies).checkpoint()
+    classes = rows.groupBy("fps").agg(F.min(F.struct(_ids().alias("id"), "th")).alias("least"))
+    parts = classes.select("fps", F.posexplode("fps").alias("copy", "fp"))
+    linked = links(parts)
+    if copies == 1:  # a class is its fingerprint
+        edges, node = linked.select("a", "b"), F.col("fps")[0]
+    else:  # nodes are names of classes and of fingerprints that lead to more than one class
+        name, node = F.xxhash64("copy", "fp"), F.xxhash64("fps")
+        linked = linked.select(F.xxhash64("copy", "a").alias("a"), F.xxhash64("copy", "b").alias("b")).checkpoint()
+        members = parts.select(name.alias("a"), node.alias("b"))
+        shared = members.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+        wanted = shared.unionByName(linked.select("a")).unionByName(linked.select(F.col("b").alias("a"))).distinct()
+        edges = linked.unionByName(members.join(wanted, "a", "left_semi"))
+    found = components(edges).withColumnsRenamed({"node": "class", "component": "group"})
+    grouped = classes.withColumn("class", node).join(found, "class", "left").select("fps", "least", F.coalesce("group", "class").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("least"))
-    found = grouped.select("fp", "group").join(least, "group").select("fp", "least")
-    return fps.join(found, "fp").select("doc_id", "th", "fp", "least")
+    return rows.join(grouped.select("fps", "group").join(least, "group").select("fps", "least"), "fps").select("doc_id", "th", "fps", "least")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
