@@ -101,40 +101,40 @@ def simhash(words: list[bytes], width: int, copies: int = 1) -> list[int]:
 
 
 def _keys(every: bool):
-    """Keys of fingerprints (copy, fp): one for each segment, or all of the neighbourhood."""
+    """Keys of fingerprints (fp, group): one for each segment, or all of the neighbourhood."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, around = fuzzy_indices()
         mask = np.uint64((1 << SEGMENT_BITS) - 1)
         for rows in batches:
-            fp, copy = rows.column("fp").to_numpy(), rows.column("copy").to_numpy().astype(np.int64)
+            fp, group = rows.column("fp").to_numpy(), rows.column("group").to_numpy()
             parts = [(fp.view(np.uint64) >> np.uint64(SEGMENT_BITS * i) & mask).astype(np.int64) for i in range(SEGMENTS)]
             keys, owners = [], []
             for i in range(SEGMENTS):
                 following = parts[(i + 1) % SEGMENTS]
                 index = around[following] if every else exact[following][:, None]
                 row, column = np.nonzero(index >= 0)
-                keys.append(copy[row] << 30 | i << 28 | parts[i][row] << 12 | index[row, column])
-                owners.append(fp[row])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "fp"])
+                keys.append((i << 28) | parts[i][row] << 12 | index[row, column])
+                owners.append(row)
+            at = np.concatenate(owners)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(fp[at]), pa.array(group[at])], ["key", "fp", "group"])
 
     return of
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """All pairs a < b of distinct fingerprints (columns copy and fp) of one copy at three or
-    fewer differing bits, as copy, a, b.
+def links(seen: DataFrame) -> DataFrame:
+    """Pairs a < b of different groups that hold fingerprints at three or fewer differing bits.
 
-    A key holds few distinct fingerprints by chance (28 bits for each segment); adaptive
+    seen: distinct fingerprints (fp) and a group for each. Every such link is found. A key
+    holds few distinct fingerprints by chance (28 bits for each segment); adaptive
     execution splits the join where near copies crowd one key.
     """
-    small_batches(fps.sparkSession)
-    seen = fps.select("copy", "fp").distinct()
-    one = seen.mapInArrow(_keys(False), "key long, fp long").withColumnRenamed("fp", "a")
-    several = seen.mapInArrow(_keys(True), "key long, fp long").withColumnRenamed("fp", "b")
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= ERRORS)
-    pairs = one.join(several, (one["key"] == several["key"]) & near)
-    return pairs.select(F.shiftright(one["key"], 30).cast("int").alias("copy"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small_batches(seen.sparkSession)
+    kind = "key long, fp long, group long"
+    one = seen.select("fp", "group").mapInArrow(_keys(False), kind).withColumnsRenamed({"fp": "x", "group": "a"})
+    several = seen.select("fp", "group").mapInArrow(_keys(True), kind).withColumnsRenamed({"fp": "y", "group": "b"})
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= ERRORS)
+    return one.join(several, (one["key"] == several["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return _grouped(docs, width, 1).select("doc_id", F.col("fps")[0].alias("fp"), F.expr(f"nullif(least.id, {NO_ID})").alias("component_id"))
 
 
-def representatives(docs: DataFrame, width: int = 5, copies: int = 6) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, copies: int = 4) -> DataFrame:
     """One row of docs, whole, for each group of near duplicates: that with the smallest doc_id.
 
     Documents link if their fingerprints of any of the copies do; further copies find more of
@@ -168,27 +168,27 @@ def _ids() -> Column:
 def _grouped(docs: DataFrame, width: int, copies: int) -> DataFrame:
     """doc_id, th, fps and least: id and text hash of the first document of the component.
 
-    Documents with the same fingerprints are one class. Classes are joined through
-    fingerprints: a class belongs to the component of any of its fingerprints.
+    Documents with the same fingerprints are one class. The copies are taken in turn and each
+    only links groups that are still apart, so the pairs inside a large group of near
+    copies are met once and not once for each copy.
     """
     with_checkpoints(docs.sparkSession)
     rows = fingerprints(docs, width, copies).checkpoint()
-    classes = rows.groupBy("fps").agg(F.min(F.struct(_ids().alias("id"), "th")).alias("least"))
-    parts = classes.select("fps", F.posexplode("fps").alias("copy", "fp"))
-    linked = links(parts)
-    if copies == 1:  # a class is its fingerprint
-        edges, node = linked.select("a", "b"), F.col("fps")[0]
-    else:  # nodes are names of classes and of fingerprints that lead to more than one class
-        name, node = F.xxhash64("copy", "fp"), F.xxhash64("fps")
-        linked = linked.select(F.xxhash64("copy", "a").alias("a"), F.xxhash64("copy", "b").alias("b")).checkpoint()
-        members = parts.select(name.alias("a"), node.alias("b"))
-        shared = members.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-        wanted = shared.unionByName(linked.select("a")).unionByName(linked.select(F.col("b").alias("a"))).distinct()
-        edges = linked.unionByName(members.join(wanted, "a", "left_semi"))
-    found = components(edges).withColumnsRenamed({"node": "class", "component": "group"})
-    grouped = classes.withColumn("class", node).join(found, "class", "left").select("fps", "least", F.coalesce("group", "class").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("least").alias("least"))
-    return rows.join(grouped.select("fps", "group").join(least, "group").select("fps", "least"), "fps").select("doc_id", "th", "fps", "least")
+    name = F.col("fps")[0] if copies == 1 else F.xxhash64("fps")
+    classes = rows.groupBy("fps").agg(F.min(F.struct(_ids().alias("id"), "th")).alias("least")).withColumn("group", name)
+    for copy in range(copies):
+        parts = classes.select(F.col("fps")[copy].alias("fp"), "group")
+        seen = parts.groupBy("fp").agg(F.min("group").alias("group"))
+        edges = links(seen)
+        if copies > 1:  # groups that share a fingerprint
+            shared = seen.withColumnRenamed("group", "a")
+            edges = edges.unionByName(parts.join(shared, "fp").filter("a <> group").select("a", F.col("group").alias("b")).distinct())
+        found = components(edges).withColumnRenamed("node", "group")
+        classes = classes.join(found, "group", "left").select("fps", "least", F.coalesce("component", "group").alias("group"))
+        if copies > 1:
+            classes = classes.checkpoint()
+    least = classes.groupBy("group").agg(F.min("least").alias("least"))
+    return rows.join(classes.select("fps", "group").join(least, "group").select("fps", "least"), "fps").select("doc_id", "th", "fps", "least")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,8 +92,12 @@ def test_links_are_all_links(spark):
             fps.append(centre ^ sum(1 << b for b in bits))
     signed = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
     expected = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
-    found = simhash.links(spark.createDataFrame([(c, x) for x in signed for c in (0, 3)], "copy int, fp long"))
-    assert {tuple(r) for r in found.collect()} == {(c, *pair) for pair in expected for c in (0, 3)}
+    found = simhash.links(spark.createDataFrame([(x, x) for x in signed], "fp long, group long"))
+    assert {tuple(r) for r in found.collect()} == expected
+    grouped = simhash.links(spark.createDataFrame([(x, k % 5) for k, x in enumerate(signed)], "fp long, group long"))
+    place = {x: k % 5 for k, x in enumerate(signed)}
+    apart = {tuple(sorted((place[a], place[b]))) for a, b in expected if place[a] != place[b]}
+    assert {tuple(r) for r in grouped.collect()} == apart
 
 
 def test_golay_decoder_covers_every_word():
@@ -111,7 +115,7 @@ def test_representatives(frame):
 
 
 def test_representatives_by_any_fingerprint(frame):
-    """Against plain grouping over all six fingerprints."""
+    """Against plain grouping over all four fingerprints."""
     draw = random.Random(8)
     base = [f"v{draw.randint(0, 900)}" for _ in range(500)]
     rows = []
@@ -121,12 +125,12 @@ def test_representatives_by_any_fingerprint(frame):
             words[draw.randrange(500)] = f"n{k}"
         rows.append((k, " ".join(words)))
     rows += [(50 + k, " ".join(draw.choice(base) for _ in range(100))) for k in range(10)] + [(70, ""), (71, None)]
-    fps = {i: simhash.simhash(t.lower().encode().split(), 5, 6) if t else [0] * 6 for i, t in rows}
+    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 4) if t else [0] * 4 for i, t in rows}
     group = {i: i for i, _ in rows}
     for _ in rows:  # least label until nothing changes
         for i in fps:
             group[i] = min(group[j] for j in fps if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j])))
-    kept = simhash.representatives(frame(rows), 5, 6)
+    kept = simhash.representatives(frame(rows), 5, 4)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
     assert len(set(fps[i][0] for i in fps)) > 10
 
