@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return _grouped(docs, width, 1).select("doc_id", F.col("fps")[0].alias("fp"), F.expr(f"nullif(least.id, {NO_ID})").alias("component_id"))
 
 
-def representatives(docs: DataFrame, width: int = 5, copies: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, copies: int = 2) -> DataFrame:
     """One row of docs, whole, for each group of near duplicates: that with the smallest doc_id.
 
     Documents link if their fingerprints of any of the copies do; further copies find more of

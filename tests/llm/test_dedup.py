@@ -115,7 +115,7 @@ def test_representatives(frame):
 
 
 def test_representatives_by_any_fingerprint(frame):
-    """Against plain grouping over all four fingerprints."""
+    """Against plain grouping over both fingerprints."""
     draw = random.Random(8)
     base = [f"v{draw.randint(0, 900)}" for _ in range(500)]
     rows = []
@@ -125,12 +125,12 @@ def test_representatives_by_any_fingerprint(frame):
             words[draw.randrange(500)] = f"n{k}"
         rows.append((k, " ".join(words)))
     rows += [(50 + k, " ".join(draw.choice(base) for _ in range(100))) for k in range(10)] + [(70, ""), (71, None)]
-    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 4) if t else [0] * 4 for i, t in rows}
+    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 2) if t else [0] * 2 for i, t in rows}
     group = {i: i for i, _ in rows}
     for _ in rows:  # least label until nothing changes
         for i in fps:
             group[i] = min(group[j] for j in fps if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j])))
-    kept = simhash.representatives(frame(rows), 5, 4)
+    kept = simhash.representatives(frame(rows), 5, 2)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
     assert len(set(fps[i][0] for i in fps)) > 10
 

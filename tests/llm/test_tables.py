@@ -137,7 +137,7 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(str(folder / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(folder)).collect()
     text = {r[0]: r[1] for r in rows if r[1] and any(map(str.isalpha, r[1]))}
-    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 4) for i, t in text.items()}
+    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 2) for i, t in text.items()}
     group = {i: i for i in fps}
     for _ in range(8):
         for i in fps:
