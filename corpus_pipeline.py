@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates (five-word shingles, two fingerprints)."""
-    return simhash.representatives(docs, width=5, copies=2)
+    """Keeps the document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return simhash.representatives(docs, width=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

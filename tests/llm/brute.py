@@ -72,3 +72,17 @@ def near(rows: list[tuple], width: int) -> list[tuple]:
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return [(d, f"{fps[i]:016x}", least[root(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def similar(rows: list[tuple], width: int) -> list[tuple]:
+    """(doc_id, smallest id reached) by links of shingle sets at a Jaccard similarity of 0.8; empty sets are equal."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    near = lambda p, q: 5 * len(p & q) >= 4 * len(p | q)
+    least = {i: i for i in range(len(rows))}
+    beside = [[j for j in range(len(rows)) if near(sets[i], sets[j])] for i in range(len(rows))]
+    for _ in rows:  # least label until nothing changes
+        least = {i: min((least[j] for j in beside[i]), key=lambda j: (rows[j][0] is None, rows[j][0] or 0)) for i in least}
+    return [(d, rows[least[i]][0]) for i, (d, _) in enumerate(rows)]

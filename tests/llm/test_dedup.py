@@ -114,25 +114,25 @@ def test_representatives(frame):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "2", "None"] and kept.columns == frame(rows).columns
 
 
-def test_representatives_by_any_fingerprint(frame):
-    """Against plain grouping over both fingerprints."""
-    draw = random.Random(8)
-    base = [f"v{draw.randint(0, 900)}" for _ in range(500)]
-    rows = []
-    for k in range(40):
-        words = list(base)
-        for _ in range(k % 6):
-            words[draw.randrange(500)] = f"n{k}"
-        rows.append((k, " ".join(words)))
-    rows += [(50 + k, " ".join(draw.choice(base) for _ in range(100))) for k in range(10)] + [(70, ""), (71, None)]
-    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 2) if t else [0] * 2 for i, t in rows}
-    group = {i: i for i, _ in rows}
-    for _ in rows:  # least label until nothing changes
-        for i in fps:
-            group[i] = min(group[j] for j in fps if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j])))
-    kept = simhash.representatives(frame(rows), 5, 2)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
-    assert len(set(fps[i][0] for i in fps)) > 10
+@pytest.mark.parametrize("length", [9, 40, 500])
+def test_representatives_are_those_of_all_pairs(frame, odd_rows, length):
+    """Against all pairs: copies with words changed apart, added behind, or sharing a passage only."""
+    draw = random.Random(length)
+    fresh = lambda n: [f"v{draw.randint(0, 10**6)}" for _ in range(n)]
+    rows, passage = [r for r in odd_rows if r[0] is not None], fresh(length)
+    for k in range(12):
+        base = fresh(length)
+        for c in range(6):
+            words = list(base)
+            for _ in range(draw.randint(0, max(1, length // 40))):
+                words[draw.randrange(len(words))] = f"n{k}_{c}"
+            rows.append((1000 + 10 * k + c, " ".join(words + fresh(draw.choice([0, 0, length // 9, length // 5])))))
+        rows.append((2000 + k, " ".join(passage + fresh(length // 2 + 1))))
+    draw.shuffle(rows)
+    expected = {least for _, least in brute.similar(rows, 5)}
+    kept = simhash.representatives(frame(rows), 5)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+    assert len(expected) < len({i for i, _ in rows}) - 20 and len(set(expected) & set(range(2000, 2012))) == 12
 
 
 def test_components(spark):
