@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from deltarule.llm import mixing, queries, simhash, topk, url_filter
+from deltarule.llm import mixing, queries, topk, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -137,12 +137,7 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(str(folder / "documents.parquet"))
     found = corpus_pipeline.run(spark, str(folder)).collect()
     text = {r[0]: r[1] for r in rows if r[1] and any(map(str.isalpha, r[1]))}
-    fps = {i: simhash.simhash(t.encode().lower().split(), 5, 2) for i, t in text.items()}
-    group = {i: i for i in fps}
-    for _ in range(8):
-        for i in fps:
-            group[i] = min(group[j] for j in fps if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j])))
-    kept = [(i, text[i]) for i in fps if group[i] == i]
+    kept = [(i, text[i]) for i, least in brute.similar(list(text.items()), 5) if least == i]
     assert {r.doc_id for r in found} <= {i for i, _ in kept} and 10_003 not in {r.doc_id for r in found} and 10_004 not in {r.doc_id for r in found}
     left = {i: (n, gone) for i, n, gone, _ in brute.substring(kept, 50)}
     stage = docs
