@@ -178,7 +178,15 @@ add("points_to", "line", library.POINTS_TO + "assign(a, b) :- line(o, a, _, 1, _
     "q(x, o) USING KEY (x, o) AS (SELECT p, s FROM l WHERE n = 3 UNION (SELECT DISTINCT x, o FROM (SELECT a AS x, o FROM assign JOIN recurring.q ON b = x UNION SELECT a, r.o FROM load JOIN recurring.q p ON p.x = b JOIN recurring.q r ON r.x = p.o UNION SELECT p.o, r.o FROM store JOIN recurring.q p ON p.x = a JOIN recurring.q r ON r.x = b) c WHERE NOT EXISTS (SELECT 1 FROM recurring.q h WHERE h.x = c.x AND h.o = c.o))) SELECT x, o FROM q", output="points")
 add("null_flow", "part", GRAPH + "relation null_edge(i64, i64); relation out(i64, i64); null_edge(x, y) :- edge(x, y, w), if w > 48; out(x, y) :- null_edge(x, y); out(x, y) :- out(x, m), edge(m, y, w), if w > 30;", "x y",
     f"WITH RECURSIVE {EDGES}, r AS (SELECT x, y FROM edge WHERE w > 48 UNION SELECT r.x, edge.y FROM r JOIN edge ON r.y = edge.x WHERE w > 30) SELECT x, y FROM r")
-
+# Five queries above keep id conditions or a slice that their SQL has too; these are the same over whole tables.
+add("disjunction_whole", "event", "relation out(i64); out(u) :- (event(_, u, 'error', _) ; event(_, u, 'signup', _));", "u", "SELECT DISTINCT user_id AS u FROM events WHERE event_type IN ('error', 'signup')")
+add("generator_range_whole", "part", "relation out(i64, i32); out(k, i) :- part(k, _, _, s), for i in s - 3..s;", "k i", "SELECT p_partkey AS k, unnest(range(p_size - 3, p_size))::INT AS i FROM part")
+add("generator_array_whole", "vector", "relation out(i64, f32); out(k, x) :- vector(k, v), for x in v, if x > 0;", "k x", "SELECT DISTINCT vec_id AS k, x FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x > 0")
+add("same_generation_whole", "region nation supplier", "relation up(String, String); relation out(String, String); up(cat('n', string(n)), cat('r', string(r))) :- nation(n, _, r); up(cat('s', string(s)), cat('n', string(n))) :- supplier(s, n, _); out(x, y) :- up(x, p), up(y, p), if x <> y; out(x, y) :- up(x, p), out(p, q), up(y, q);", "x y",
+    "WITH RECURSIVE up AS (SELECT 'n' || n_nationkey AS x, 'r' || n_regionkey AS p FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), r AS (SELECT a.x, b.x AS y FROM up a JOIN up b USING (p) WHERE a.x <> b.x UNION SELECT a.x, b.x FROM r JOIN up a ON a.p = r.x JOIN up b ON b.p = r.y) SELECT x, y FROM r")
+add("points_to_whole", "line", library.POINTS_TO + "assign(a, b) :- line(o, a, _, 1, _, _), line(o, b, _, 2, _, _); addr(a, s) :- line(_, a, s, 3, _, _); load(a, b) :- line(o, a, _, 2, 'R', _), line(o, b, _, 4, _, _); store(a, b) :- line(o, a, _, 1, 'A', _), line(o, b, _, 3, _, _);", "x o",
+    "WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS f FROM lineitem), assign AS (SELECT DISTINCT a.p AS a, b.p AS b FROM l a JOIN l b USING (o) WHERE a.n = 1 AND b.n = 2), load AS (SELECT DISTINCT a.p AS a, b.p AS b FROM l a JOIN l b USING (o) WHERE a.n = 2 AND a.f = 'R' AND b.n = 4), store AS (SELECT DISTINCT a.p AS a, b.p AS b FROM l a JOIN l b USING (o) WHERE a.n = 1 AND a.f = 'A' AND b.n = 3), "
+    "q(x, o) USING KEY (x, o) AS (SELECT p, s FROM l WHERE n = 3 UNION (SELECT DISTINCT x, o FROM (SELECT a AS x, o FROM assign JOIN recurring.q ON b = x UNION SELECT a, r.o FROM load JOIN recurring.q p ON p.x = b JOIN recurring.q r ON r.x = p.o UNION SELECT p.o, r.o FROM store JOIN recurring.q p ON p.x = a JOIN recurring.q r ON r.x = b) c WHERE NOT EXISTS (SELECT 1 FROM recurring.q h WHERE h.x = c.x AND h.o = c.o))) SELECT x, o FROM q", output="points")
 
 def queries() -> dict[str, RuleQuery]:
     return dict(QUERIES)

@@ -1,0 +1,20 @@
+"""Queries over whole tables against their SQL, on tables with rows that the namesakes' id condition or slice leaves out."""
+
+import duckdb
+import pytest
+
+from deltarule.queries import QUERIES
+
+DATA = "/root/testdata"
+CASES = {"disjunction": "sf0.01", "generator_range": "sf0.001", "generator_array": "sf0.001", "same_generation": "sf0.01", "points_to": "sf0.001"}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_whole_holds_more_than_the_subset(spark, name):
+    folder, query = f"{DATA}/{CASES[name]}", QUERIES[f"{name}_whole"]
+    duck = duckdb.connect()
+    for t in ("nation", "supplier", "part", "lineitem", "events", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    found = {tuple(r) for r in query(spark, folder).collect()}
+    assert found == set(duck.execute(query.sql).fetchall())
+    assert found > {tuple(r) for r in QUERIES[name](spark, folder).collect()}
