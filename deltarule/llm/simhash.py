@@ -10,9 +10,9 @@ all its neighbours (one index, or six if the word lies three bits from its codew
 A key is thus 16 exact bits, a 12-bit index and the segment's number.
 
 ``near_duplicates`` links at three bits. ``representatives`` links at a Jaccard similarity
-of 0.8, far more than three bits can bridge: pairs that fingerprints leave apart come
-from least-shingle samples, are ruled out by fingerprint distance, and are then verified
-on whole shingle sets.
+of 0.8, far more than three bits can bridge: further pairs come from least-shingle
+samples and are ruled out by fingerprint distance, and every pair is verified on whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -232,9 +232,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 def representatives(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row of docs, whole, for each group of near duplicates: that with the smallest doc_id.
 
-    Documents link if the Jaccard similarity of their sets of word shingles is 0.8 or more,
-    or if fingerprints of these sets differ in three bits or fewer. Equal sets are one class,
-    empty ones included. Of rows that share the smallest id, one stays; a null id counts as
+    Documents link if the Jaccard similarity of their sets of word shingles is 0.8 or more;
+    fingerprints and sample keys only propose pairs. Equal sets are one class, empty ones
+    included. Of rows that share the smallest id, one stays; a null id counts as
     larger than every id. Other columns pass through.
     """
     least = _similar_groups(docs, width).groupBy("group").agg(F.min("least").alias("least"))
@@ -247,20 +247,22 @@ def representatives(docs: DataFrame, width: int = 5) -> DataFrame:
 def _similar_groups(docs: DataFrame, width: int) -> DataFrame:
     """Classes of documents with equal sets (node, least, group): least is the id and text hash of the first of them.
 
-    Fingerprints link first. Then each class meets one class, the leader, of every sample key,
-    which ties a group of near copies together with a pair a member and key at most. Last,
-    classes that share a key and are still apart meet each other, so no pair with a common
-    key is left out. Pairs inside a group that is already linked are never made.
+    Every link is verified on whole sets. First each class meets one class, the leader, of
+    every sample key, which ties a group of near copies together with a pair a member and key
+    at most, and the first class of its fingerprint. Then classes that share a key, or have fingerprints
+    within three bits, meet each other if they are still apart, so no pair is left out. Pairs
+    inside a group that is already linked are never made.
     """
     with_checkpoints(docs.sparkSession)
     rows = sketches(docs, width).checkpoint().withColumn("row", F.monotonically_increasing_id())
     kinds = ["node", "n", "fp", "fp2"]
     classes = rows.groupBy(*kinds).agg(F.min(F.struct(_ids().alias("id"), "th", "row")).alias("least"))
-    seen = classes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("group"))
-    found = components(links(seen)).withColumnRenamed("node", "group")
-    seen = seen.join(found, "group", "left").select("fp", F.coalesce("component", "group").alias("group"))
-    classes = classes.join(seen, "fp", "left").select(*kinds, "least", F.coalesce("group", "node").alias("group")).checkpoint()
+    classes = classes.withColumn("group", F.col("node")).checkpoint()
     firsts = classes.select("node", F.col("least.row").alias("row"))
+    seen = classes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("rep")).checkpoint()
+    reps = classes.select("node", "fp").join(seen, "fp").select("node", "rep")
+    close = links(seen.select("fp", F.col("rep").alias("group"))).checkpoint()
+    first = reps.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     members = rows.select("row", "keys").join(firsts, "row").select("node", F.explode("keys").alias("key")).checkpoint()
 
     sets = None
@@ -269,7 +271,7 @@ def _similar_groups(docs: DataFrame, width: int) -> DataFrame:
         groups = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct(*kinds, "group")).alias("leader"))
         mixed = join_totals(met, groups.filter("low <> high").select("key", "leader"), ["key"]).checkpoint()
         if sets is None:  # later rounds need no others, as groups only grow
-            wanted = firsts.join(mixed.select("node").distinct(), "node")
+            wanted = firsts.join(mixed.select("node").unionByName(close.unionByName(first).select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node")
             sets = rows.select("row", "shingles").join(wanted, "row").select("node", "shingles").checkpoint()
         x = mixed.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in [*kinds[1:], "group"]), "key", "leader")
         if led:
@@ -277,22 +279,45 @@ def _similar_groups(docs: DataFrame, width: int) -> DataFrame:
         else:
             y = mixed.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in [*kinds[1:], "group"]), F.col("key").alias("key_b"))
             pairs = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _may_link())
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
-        other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
-        near = pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(_similar, "a long, b long").checkpoint()
-        label = lambda c: classes.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}"))
-        edges = near.join(label("a"), "a").join(label("b"), "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
-        found = components(edges).withColumnRenamed("node", "group")
-        classes = classes.join(found, "group", "left").select(*kinds, "least", F.coalesce("component", "group").alias("group")).checkpoint()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.unionByName(first if led else _apart(classes, reps, close)).distinct()
+        classes = _linked(classes, pairs, sets, kinds)
     return classes
 
 
+def _linked(classes: DataFrame, pairs: DataFrame, sets: DataFrame, kinds: list[str]) -> DataFrame:
+    """classes with the groups joined that a pair (a, b) of nodes with a verified similarity of 0.8 connects."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
+    near = pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(_similar, "a long, b long").checkpoint()
+    label = lambda c: classes.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}"))
+    edges = near.join(label("a"), "a").join(label("b"), "b").select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
+    found = components(edges).withColumnRenamed("node", "group")
+    return classes.join(found, "group", "left").select(*kinds, "least", F.coalesce("component", "group").alias("group")).checkpoint()
+
+
+def _apart(classes: DataFrame, reps: DataFrame, close: DataFrame) -> DataFrame:
+    """Pairs of classes whose fingerprints are equal or in a pair of close, but whose groups still differ."""
+    held = reps.join(classes.select("node", "n", "group"), "node")
+    span = held.groupBy("rep").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    equal = span.filter("low <> high").select(F.col("rep").alias("r"), F.col("rep").alias("s"))
+    side = lambda c: span.select(F.col("rep").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    some = close.join(side("a"), "a").join(side("b"), "b").filter("least(low_a, low_b) <> greatest(high_a, high_b)")
+    both = equal.unionByName(some.select(F.col("a").alias("r"), F.col("b").alias("s")))
+    x = held.select(F.col("rep").alias("r"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"))
+    y = held.select(F.col("rep").alias("s"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
+    met = both.join(x, "r").join(y, "s").filter((F.col("group_a") != F.col("group_b")) & _sizes() & (F.col("a") != F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _may_link() -> Column:
     """Of a pair in different groups: sizes and fingerprints allow a similarity of 0.8."""
     apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("fp", "fp2"))
-    sizes = (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
-    return (F.col("group_a") != F.col("group_b")) & sizes & (apart <= FAR)
+    return (F.col("group_a") != F.col("group_b")) & _sizes() & (apart <= FAR)
+
+
+def _sizes() -> Column:
+    return (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
 
 
 def _ids() -> Column:

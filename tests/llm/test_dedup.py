@@ -135,6 +135,18 @@ def test_representatives_are_those_of_all_pairs(frame, odd_rows, length):
     assert len(expected) < len({i for i, _ in rows}) - 20 and len(set(expected) & set(range(2000, 2012))) == 12
 
 
+@pytest.mark.parametrize("own", [40, 60, 80])
+def test_representatives_keep_a_family_below_the_limit(frame, own):
+    """A template of 240 words and 40 to 80 words of its own put every pair at 0.59 to 0.75, though fingerprints come within three bits."""
+    draw = random.Random(own)
+    template = [f"t{i}" for i in range(240)]
+    rows = [(i, " ".join(template + [f"o{draw.randint(0, 10**9)}" for _ in range(own)])) for i in range(400)]
+    fps = [simhash.bits(np.unique(simhash.shingle_hashes(t.encode().split(), 5)), 1)[0] for _, t in rows]
+    close = sum((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
+    assert own > 40 or close
+    assert sorted(r.doc_id for r in simhash.representatives(frame(rows), 5).collect()) == list(range(400))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 160)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
