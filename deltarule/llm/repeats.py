@@ -10,7 +10,7 @@ its hash covers all bytes of the run. Then
 2. Equal runs are equal in each of their windows, so where all runs of an anchor are
    equal they are decided together. This holds for the inside of every copied passage.
 3. Only where runs of one anchor differ, at the ends of passages, do their windows
-   become rows of their own, counted by a pair of hashes of overlapping parts (96 bits).
+   become rows of their own, counted by a pair of hashes of overlapping parts (128 bits).
 
 Nothing is sampled or capped: every window is decided as if all had been shuffled.
 Rows are keyed by (id, hash of the text), so rows that share an id stay apart. Keys of
@@ -114,7 +114,7 @@ def _runs(plan: Plan) -> Callable:
             half = plan.k // 2
             # the rank pair of the anchor: names of its halves, renamed as one
             key = rolling.at(anchor, anchor + half) * np.uint64(3) + rolling.at(anchor + half, anchor + plan.k)
-            ctx = (rolling.at(first, first + count - 1 + plan.width) + count.astype(np.uint64)) >> np.uint64(32)
+            ctx = rolling.at(first, first + count - 1 + plan.width) + count.astype(np.uint64)
             rk, th = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rk", "th"))
             local = first - bounds[doc]
             yield _batch({"k": key, "ctx": ctx, "rk": rk[doc], "pk": (th[doc] << 16) | count, "lo": local})
@@ -132,7 +132,7 @@ def _windows(plan: Plan) -> Callable:
             at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + lo[owner]
             ra, rb = rank_pair(rolling, at + bounds[doc[owner]], plan.width)
             rk, th = (rows.column(c).to_numpy(zero_copy_only=False)[doc[owner]] for c in ("rk", "th"))
-            yield _batch({"ra": ra, "rb": rb >> np.uint64(32), "rk": rk, "th": th, "lo": at})
+            yield _batch({"ra": ra, "rb": rb, "rk": rk, "th": th, "lo": at})
 
     return of
 

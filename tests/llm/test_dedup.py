@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltarule.llm import components, repeats, simhash, substring_dedup, suffix_dedup
-from deltarule.llm.common import Rolling
+from deltarule.llm.common import BYTE_VALUE, Rolling
 from tests.llm import brute
 
 key = lambda r: tuple((x is not None, x) for x in r)
@@ -39,6 +39,26 @@ def test_few_symbols(frame):
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(brute.suffix(rows, 12), key=key)
 
 
+@pytest.mark.parametrize("part", ["run", "window"])
+def test_names_of_one_anchor_have_64_bits(frame, part):
+    """Two texts with 380 bytes in common whose names agree in 32 bits have no repeated string of 400 bytes."""
+    draw = np.random.default_rng(10)  # puts the anchor into the common bytes
+    head = draw.integers(97, 123, 380, dtype=np.uint8)
+    tails, found = draw.integers(97, 123, (200_000, 20), dtype=np.uint8), []
+    for some in np.array_split(tails, 100):
+        texts = np.concatenate((np.tile(head, (len(some), 1)), some), axis=1)
+        at = np.arange(len(some)) * 400
+        rolling = Rolling(BYTE_VALUE[texts.ravel()])
+        found.append(rolling.at(at, at + 400) + np.uint64(1) if part == "run" else rolling.at(at + 144, at + 400))
+    names = np.concatenate(found) >> np.uint64(32)
+    order = np.argsort(names)
+    same = np.flatnonzero(names[order][1:] == names[order][:-1])
+    assert len(same)
+    rows = [(k, bytes(np.concatenate((head, tails[i]))).decode()) for k, i in enumerate(order[same[0] : same[0] + 2])]
+    kept = suffix_dedup._run(frame(rows), 400, True).drop("removed")
+    assert sorted(map(tuple, kept.collect())) == sorted(brute.suffix(rows, 400))
+
+
 def test_kept_texts(frame):
     passage = " ".join(f"p{i}" for i in range(50))
     docs = frame([(1, f"begin {passage} end"), (2, f"other {passage}\nrest"), (3, None), (4, passage), (5, "left  alone")])
