@@ -42,6 +42,20 @@ def test_bands(frame):
     assert {r.doc_id: r.reason for r in quality_rules.compression_bands(frame([(2, noise)]), tight).collect()} == {2: "incompressible"}
 
 
+def test_noise_of_every_length_is_incompressible(frame):
+    """Random letters and digits, and base64, in words of eight; the production limits."""
+    draw = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = lambda s: " ".join(s[i : i + 8] for i in range(0, len(s), 8))
+    rows = []
+    for size in (460, 505, 700, 2000, 2300, 9000, 16000, 20000, 60000):
+        rows.append((size, words("".join(draw.choice(alphabet) for _ in range(size)))[:size]))
+        rows.append((size + 1, words(base64.b64encode(draw.randbytes(size)).decode())[:size]))
+    found = quality_rules.compression_bands(frame(rows)).collect()
+    assert {(r.doc_id, r.kept, r.reason) for r in found} == {(i, False, "incompressible") for i, _ in rows}
+    assert all(r.bad_chunks == r.n_chunks for r in found)
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"  # smaller scales have too few bad labels to learn from
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
