@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deltarule.llm.common import with_checkpoints
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node it reaches) for every node of edges (a, b).
 
     Each round gives a node the least label among its neighbours' (a minimum that is
@@ -19,7 +19,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     with_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         joined = labels.join(near, "node", "left").select("node", "component", F.least("component", "least").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("component").alias("further"))
@@ -27,4 +27,3 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         labels = after.select("node", "component")
         if not after.filter("moved").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
