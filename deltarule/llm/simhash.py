@@ -11,8 +11,8 @@ A key is thus 16 exact bits, a 12-bit index and the segment's number.
 
 ``near_duplicates`` links at three bits. ``representatives`` links at a Jaccard similarity
 of 0.8, far more than three bits can bridge: further pairs come from least-shingle
-samples and are ruled out by fingerprint distance, and every pair is verified on whole
-shingle sets.
+samples, and from exact prefixes of short sets. A parity sketch rules out pairs that
+cannot reach 0.8, never one that can, and every other pair is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -30,11 +30,15 @@ from deltarule.llm.components import components
 
 SEGMENTS, SEGMENT_BITS, ERRORS = 4, 16, 3
 #: Samples of a shingle set, and shingles in each. Sets of similarity 0.8 share one of 20
-#: samples of 4 with probability 1 - (1 - 0.8**4)**20 > 0.9999 (0.988 for sets of 4 and 5).
+#: samples of 4 with probability 1 - (1 - 0.8**4)**20 > 0.9999.
 SAMPLES, SAMPLE_SIZE = 20, 4
-#: Bits that two fingerprints of 64 each may differ in before a pair is verified: similarity
-#: 0.8 differs in 19 on average, with a deviation of 4.
-FAR = 40
+#: Sets of up to so many shingles have exact keys: of n shingles in one fixed order, the first
+#: n - ceil(0.8 n) + 1. Two sets of similarity 0.8 always share one of these.
+SHORT = 40
+#: Words of 64 bits in a parity sketch: each bit is the parity of the shingles that hash to it, so
+#: two sketches differ in at most as many bits as the sets have shingles that are not in both.
+PARITY = 8
+PARITIES = [f"m{i}" for i in range(PARITY)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -123,45 +127,57 @@ _ODD = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def samples(hashes: np.ndarray) -> np.ndarray:
-    """A key for each of SAMPLES orders: the SAMPLE_SIZE least of the distinct hashes in that order."""
-    least = np.zeros((SAMPLES, SAMPLE_SIZE), np.uint64)
-    size = min(SAMPLE_SIZE, len(hashes))
-    for i in range(SAMPLES):
-        ordered = hashes * _ODD[i]
-        least[i, :size] = np.sort(np.partition(ordered, size - 1)[:size] if size < len(ordered) else ordered)
-    keys = np.arange(SAMPLES, dtype=np.uint64)
-    for column in least.T:
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-    return keys
+    """Keys of a set of distinct hashes: the SAMPLE_SIZE least in each of SAMPLES orders, or for a short set its exact prefix.
+
+    A set up to SHORT has prefix keys, one over SHORT samples; sets up to SHORT / 0.8, which
+    may be similar to one of either kind, have both.
+    """
+    keys = [np.zeros(0, np.uint64)]
+    if len(hashes) <= SHORT * 5 // 4:
+        keys.append(mix(np.sort(hashes)[: len(hashes) - -(-4 * len(hashes) // 5) + 1]))
+    if len(hashes) > SHORT:
+        least = np.stack([np.sort(np.partition(hashes * odd, SAMPLE_SIZE - 1)[:SAMPLE_SIZE]) for odd in _ODD])
+        found = np.arange(SAMPLES, dtype=np.uint64)
+        for column in least.T:
+            found = mix(found * np.uint64(0x9E3779B97F4A7C15) + column)
+        keys.append(found)
+    return np.concatenate(keys)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY words, bit by bit the parity of the number of distinct hashes that fall on it."""
+    odd = np.bincount((mix(hashes ^ np.uint64(SAMPLES)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """For every row doc_id, th, and of its set of distinct shingles: n, fps (two fingerprints), a name, sample keys and all hashes.
+    """For every row doc_id, th, and of its set of distinct shingles: n, fp (its fingerprint), a name, parity words, keys and all hashes.
 
     A hash in ``shingles`` is four bytes, ascending. A null text, or one without words, is
     the empty set; it has no keys, and only equals other empty sets.
     """
     small_batches(docs.sparkSession)
-    kind = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    kind = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), *((w, pa.int64()) for w in PARITIES), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches):
             raw = _LOWER[data].tobytes()
             sizes, names, sets = [], [], []
-            fps, keys = np.zeros((rows.num_rows, 2), np.uint64), [np.zeros(0, np.int64)] * rows.num_rows
+            fps, marks, keys = np.zeros(rows.num_rows, np.uint64), np.zeros((rows.num_rows, PARITY), np.uint64), [np.zeros(0, np.int64)] * rows.num_rows
             for i in range(rows.num_rows):
                 words = raw[offsets[i] : offsets[i + 1]].split()
                 hashes = np.unique(shingle_hashes(words, width)) if words else np.zeros(0, np.uint64)
                 if words:
-                    fps[i], keys[i] = bits(hashes, 2), samples(hashes).view(np.int64)
+                    fps[i], marks[i], keys[i] = bits(hashes, 1)[0], parity(hashes), samples(hashes).view(np.int64)
                 sizes.append(len(hashes))
                 names.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
-            fps = fps.view(np.int64)
-            columns = [rows.column("doc_id").cast(pa.int64()), rows.column("th"), pa.array(sizes), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            marks = marks.view(np.int64)
+            columns = [rows.column("doc_id").cast(pa.int64()), rows.column("th"), pa.array(sizes), pa.array(fps.view(np.int64)), pa.array(np.array(names, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in marks.T), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(of, "doc_id long, th long, n long, fp long, fp2 long, node long, keys array<long>, shingles binary")
+    words = ", ".join(f"{w} long" for w in PARITIES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(of, f"doc_id long, th long, n long, fp long, node long, {words}, keys array<long>, shingles binary")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     found = components(links(classes.select("fp", F.col("fp").alias("group")))).withColumnRenamed("node", "fp")
     classes = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = classes.groupBy("group").agg(F.min("least").alias("least"))
-    return rows.join(classes.select("fp", "group").join(least, "group").select("fp", "least"), "fp").select("doc_id", "fp", F.expr(f"nullif(least, {NO_ID})").alias("component_id"))
+    return rows.join(join_totals(classes.select("fp", "group"), least, ["group"]).select("fp", "least"), "fp").select("doc_id", "fp", F.expr(f"nullif(least, {NO_ID})").alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -255,7 +271,7 @@ def _similar_groups(docs: DataFrame, width: int) -> DataFrame:
     """
     with_checkpoints(docs.sparkSession)
     rows = sketches(docs, width).checkpoint().withColumn("row", F.monotonically_increasing_id())
-    kinds = ["node", "n", "fp", "fp2"]
+    kinds = ["node", "n", "fp", *PARITIES]
     classes = rows.groupBy(*kinds).agg(F.min(F.struct(_ids().alias("id"), "th", "row")).alias("least"))
     classes = classes.withColumn("group", F.col("node")).checkpoint()
     firsts = classes.select("node", F.col("least.row").alias("row"))
@@ -267,18 +283,23 @@ def _similar_groups(docs: DataFrame, width: int) -> DataFrame:
 
     sets = None
     for led in (True, False):
-        met = members.join(classes.select(*kinds, "group"), "node")
-        groups = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(F.struct(*kinds, "group")).alias("leader"))
+        met = members.join(classes.select("node", "group"), "node")
+        groups = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("node").alias("leader"))
         mixed = join_totals(met, groups.filter("low <> high").select("key", "leader"), ["key"]).checkpoint()
         if sets is None:  # later rounds need no others, as groups only grow
             wanted = firsts.join(mixed.select("node").unionByName(close.unionByName(first).select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node")
             sets = rows.select("row", "shingles").join(wanted, "row").select("node", "shingles").checkpoint()
-        x = mixed.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in [*kinds[1:], "group"]), "key", "leader")
+        side = lambda rows, c: rows.select(*(F.col(x).alias(c if x == "node" else f"{x}_{c}") for x in rows.columns))
+        known = classes.select(*(x for x in kinds if x != "fp"), "group")
         if led:
-            pairs = x.select("*", F.col("leader.node").alias("b"), *(F.col(f"leader.{c}").alias(f"{c}_b") for c in [*kinds[1:], "group"])).filter(_may_link())
+            pairs = mixed.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+            pairs = pairs.join(side(known, "a"), "a").join(side(known, "b"), "b").filter(_may_link())
         else:
-            y = mixed.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in [*kinds[1:], "group"]), F.col("key").alias("key_b"))
-            pairs = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _may_link())
+            # all open keys of a class, at most 31, so that a pair is made at the first that both have
+            held = known.join(mixed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("held")), "node")
+            mixed = mixed.select("node", "key").join(held, "node").checkpoint()
+            first_key = F.col("key_a").eqNullSafe(F.element_at(F.array_intersect("held_a", "held_b"), 1))
+            pairs = side(mixed, "a").join(side(mixed, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & _may_link() & first_key)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.unionByName(first if led else _apart(classes, reps, close)).distinct()
         classes = _linked(classes, pairs, sets, kinds)
@@ -298,22 +319,24 @@ def _linked(classes: DataFrame, pairs: DataFrame, sets: DataFrame, kinds: list[s
 
 def _apart(classes: DataFrame, reps: DataFrame, close: DataFrame) -> DataFrame:
     """Pairs of classes whose fingerprints are equal or in a pair of close, but whose groups still differ."""
-    held = reps.join(classes.select("node", "n", "group"), "node")
+    held = reps.join(classes.drop("least", "fp"), "node")
     span = held.groupBy("rep").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     equal = span.filter("low <> high").select(F.col("rep").alias("r"), F.col("rep").alias("s"))
     side = lambda c: span.select(F.col("rep").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
     some = close.join(side("a"), "a").join(side("b"), "b").filter("least(low_a, low_b) <> greatest(high_a, high_b)")
     both = equal.unionByName(some.select(F.col("a").alias("r"), F.col("b").alias("s")))
-    x = held.select(F.col("rep").alias("r"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("group_a"))
-    y = held.select(F.col("rep").alias("s"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
-    met = both.join(x, "r").join(y, "s").filter((F.col("group_a") != F.col("group_b")) & _sizes() & (F.col("a") != F.col("b")))
+    member = lambda r, c: held.select(F.col("rep").alias(r), F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ["n", *PARITIES, "group"]))
+    x, y = both.join(member("r", "a"), "r"), member("t", "b")
+    met = x.join(y, (F.col("s") == F.col("t")) & (F.col("a") != F.col("b")) & _may_link())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _may_link() -> Column:
-    """Of a pair in different groups: sizes and fingerprints allow a similarity of 0.8."""
-    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("fp", "fp2"))
-    return (F.col("group_a") != F.col("group_b")) & _sizes() & (apart <= FAR)
+    """Of a pair in different groups: sizes and parities allow a similarity of 0.8.
+
+    At 0.8 the shingles that are not in both sets are at most a ninth of n_a + n_b."""
+    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PARITIES)
+    return (F.col("group_a") != F.col("group_b")) & _sizes() & (9 * apart <= F.col("n_a") + F.col("n_b"))
 
 
 def _sizes() -> Column:
