@@ -86,3 +86,50 @@ def similar(rows: list[tuple], width: int) -> list[tuple]:
     for _ in rows:  # least label until nothing changes
         least = {i: min((least[j] for j in beside[i]), key=lambda j: (rows[j][0] is None, rows[j][0] or 0)) for i in least}
     return [(d, rows[least[i]][0]) for i, (d, _) in enumerate(rows)]
+
+
+def compression_bands(rows: list[tuple], bands: tuple) -> dict:
+    """By doc_id: base counts, base_failed, kept, ratio, chunks outside their band, chunks and reason, of (doc_id, text)."""
+    import math
+    from collections import Counter
+    from statistics import quantiles
+
+    import zstandard
+
+    size = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+    found, ratios = {}, defaultdict(list)
+
+    def chunks(x: bytes) -> list[bytes]:
+        whole = [x[j : j + 1024] for j in range(0, len(x) - 1023, 1024)]
+        return whole + ([x[-1024:]] if len(x) % 1024 else [])
+
+    for i, t in rows:
+        raw = (t or "").encode()
+        words = raw.split()
+        windows = Counter(zip(words, words[1:], words[2:]))
+        repeated = {k + j for k, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for j in range(3)}
+        lines = [x for x in raw.split(b"\n") if x.split()]
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        symbols = sum(raw.count(c.encode()) for c in "#*$%&|<>")
+        found[i] = raw, [len(words), sum(len(w.decode()) for w in words), symbols, len(lines) - len(set(lines)), len(repeated), failed]
+        if not failed:
+            ratios[math.floor(4 * math.log2(len(raw)))].append(round(size(raw), 3))
+            ratios["chunk"] += [round(size(x), 3) for x in chunks(raw) if len(x) == 1024]
+
+    def inside(x: bytes, full: bool = False) -> bool | str:
+        low, high = next(b[1:] for b in bands if len(x) < b[0])
+        own = ratios["chunk" if full else math.floor(4 * math.log2(len(x)))] if x else []
+        if len(own) >= 32:
+            a, b, c = quantiles(own, n=4, method="inclusive")
+            spread = max((c - a) / 1.349, b / 100)
+            low, high = max(low, b - 6 * spread), min(high, b + 4 * spread)
+        return "incompressible" if (size(x) if x else 0) < low else "repetitive" if x and size(x) > high else True
+
+    out = {}
+    for i, (raw, base) in found.items():
+        parts = chunks(raw)
+        bad = sum(inside(x, len(x) == 1024) is not True for x in parts)
+        whole = inside(raw)
+        reason = "base" if base[-1] else whole if whole is not True else "chunks" if bad and 4 * bad >= len(parts) else None
+        out[i] = (*base, reason is None, size(raw) if raw else 0.0, bad, len(parts), reason)
+    return out

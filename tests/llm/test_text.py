@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltarule.llm import bpe, language_id, quality_classifier, quality_rules
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,6 +57,26 @@ def test_noise_of_every_length_is_incompressible(frame):
     assert all(r.bad_chunks == r.n_chunks for r in found)
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_every_column_of_the_bands(spark, folder):
+    """The query over a whole table against the plain version; the fitted bands decide on some documents."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = brute.compression_bands(rows, quality_rules.BANDS)
+    found = {r[0]: tuple(r)[1:] for r in quality_rules.query(spark, f"/root/testdata/{folder}").collect()}
+    assert found == expected
+    assert folder == "sf0.001" or any(x[-1] == "repetitive" for x in expected.values())
+
+
+def test_bands_reject_by_label(spark):
+    """Of labelled documents that pass the base rule, the fitted bands reject most bad ones and few good ones."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(labels[r.doc_id], r.kept) for r in quality_rules.query(spark, folder).collect() if r.doc_id in labels and not r.base_failed]
+    share = lambda q: sum(not kept for label, kept in rows if label == q) / sum(label == q for label, _ in rows)
+    assert share(0) > 0.5 and share(1) < 0.005
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"  # smaller scales have too few bad labels to learn from
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
