@@ -123,6 +123,31 @@ def test_top_k(spark, monkeypatch, n, same, k, pivots, blocks):
     assert Counter(map(tuple, found.collect())) == plain
 
 
+def test_groups_that_cannot_matter_are_skipped(spark, monkeypatch):
+    """Tight clusters around far-apart centres: most pairs of groups are never compared, and the result is exact."""
+    draw, seen = random.Random(3), []
+    routes = topk.routes
+    monkeypatch.setattr(topk, "routes", lambda *x, **y: seen.append(routes(*x, **y)) or seen[-1])
+    centres = [[100.0 * (i == j) for j in range(12)] for i in range(12)]
+    rows = [(i, [c + draw.gauss(0, 0.5) for c in centres[i % 12]]) for i in range(2400)]
+    frame = spark.createDataFrame([(i, [int(64 * x) for x in v]) for i, v in rows], "vec_id long, v array<long>")
+    found = topk.top_k(frame, 40, 3)
+    plain = plain_top([tuple(r) for r in frame.collect()], 40, 3)
+    assert Counter(map(tuple, found.collect())) == plain
+    assert 0 < seen[0].share < 0.2
+    assert sum(map(len, seen[0].blocks)) <= len(seen[0].blocks)
+
+
+def test_blocks_hold_neighbouring_groups():
+    import numpy as np
+
+    centre = np.array([[0.0, 0], [10, 0], [1, 0], [11, 0], [50, 0]])
+    queries = np.array([3, 3, 3, 3, 25])
+    found = topk.routes(centre, np.full(5, 9), np.ones(5), queries, np.ones(5), np.full(5, 60.0), np.full(5, -np.inf), k=100, block=8)
+    assert found.share == 1 and found.first[0] == found.first[2] and found.first[1] == found.first[3] and found.parts[4] == 4
+    assert found.blocks == [list(range(max(found.first[4] + 4, found.first[0] + 1, found.first[1] + 1)))] * 5
+
+
 def test_pipeline(spark, tmp_path):
     """All stages over planted documents, against what the plain rules leave."""
     import corpus_pipeline
