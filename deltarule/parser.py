@@ -36,7 +36,7 @@ def parse(text: str, types: dict[str, str] | None = None) -> Program:
             program.outputs = tuple(x.strip() for x in inside.split(",") if x.strip())
         elif name == "profile":
             program.profile = True
-        elif not name.endswith("_batch"):  # set semantics are the only ones here, so that asks for nothing
+        else:
             raise RuleError(f"unknown program attribute {name}")
     statements = _statements(_ATTRIBUTE.sub(" ", text))
     for statement in statements:
