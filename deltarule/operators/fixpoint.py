@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltarule.ast import Aggregate, Atom, Relation, Rule
+from deltarule.ast import WILDCARD, Aggregate, Atom, Relation, Rule
 from deltarule.errors import RuleError
 from deltarule.operators.store import Store
 from deltarule.plans.rules import RuleCompiler, all_of, columns_of
@@ -47,15 +47,15 @@ class Fixpoint:
     def __init__(self, compiler: RuleCompiler, store: Store, most_rounds: int, note: Callable[..., None]):
         self.compiler, self.store, self.most_rounds, self.note = compiler, store, most_rounds, note
 
-    def run(self, region: Region, get: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
-        """The finished relations of the region; get gives what is known of a relation before it."""
+    def run(self, region: Region, get: Callable[[str], DataFrame], scan: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+        """The finished relations of the region; get gives what is known of a relation before it,
+        scan the same, perhaps with duplicates."""
         known = {n: Known(self.compiler.relations[n], get(n).schema, self._operator(region, n)) for n in region.heads()}
         if any(k.operator for k in known.values()) and not all(k.operator for k in known.values()):
             raise RuleError(f"least or greatest values and plain rows recur together in {', '.join(known)}")
         fixed: dict[str, DataFrame] = {}
         for name in sorted({n for r in region.rules for n in r.reads()} - set(known)):
-            rows = get(name)
-            fixed[name] = self.store.read([self.store.write(rows)[0]], rows.schema)
+            fixed[name] = self._fixed(region, name, scan(name))
         for name, k in known.items():
             rows = get(name)
             path, count = self.store.write(self._reduced(rows, k) if k.operator else rows)
@@ -79,6 +79,15 @@ class Fixpoint:
                 k.paths = k.paths + k.latest
         raise RuleError(f"no fixed point of {', '.join(known)} after {self.most_rounds} rounds")
 
+    def _fixed(self, region: Region, name: str, rows: DataFrame) -> DataFrame:
+        """A table that does not change in the recursion, written once: the columns that a rule names, without duplicates; the others are null."""
+        atoms = [x if isinstance(x, Atom) else x.source for r in region.rules for x in r.body if isinstance(x, Atom | Aggregate)]
+        named = {i for a in atoms if a.relation == name for i, x in enumerate(a.arguments) if x != WILDCARD}
+        kept = [c for i, c in enumerate(rows.columns) if i in named] or rows.columns[:1]
+        part = rows.select(*kept).distinct()
+        read = self.store.read([self.store.write(part)[0]], part.schema)
+        return read.select(*(F.col(f.name) if f.name in kept else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema))
+
     def _merge(self, k: Known) -> None:
         """Joins the tables of MERGED rounds into one, and these again: few tables to list and open
         after many rounds, while a row is written again only once a level."""

@@ -170,6 +170,12 @@ class _Run:
                 self.done[name] = rows if is_set else rows.distinct()
         return self.done[name]
 
+    def scan(self, name: str) -> DataFrame:
+        """The relation for a rule that only scans it: an input keeps the duplicates that it came
+        with, as what the rule makes of them is made distinct once, on fewer columns."""
+        plain = name in self.resolved.inputs and len(self.parts[name]) == 1 and not self.waiting[name]
+        return self.parts[name][0] if plain else self.get(name)
+
     def results(self, outputs: list[str] | None) -> Results:
         names = self.resolved.outputs if outputs is None else outputs
         if unknown := set(names) - set(self.relations):
@@ -177,7 +183,7 @@ class _Run:
         for region in self.resolved.needed(list(names)):
             began = time.perf_counter()
             if region.recursive:
-                for name, rows in self.fixpoint.run(region, self.get).items():
+                for name, rows in self.fixpoint.run(region, self.get, self.scan).items():
                     self.parts[name], self.waiting[name] = [], {}
                     self._add(name, rows, True)
             else:
@@ -193,9 +199,12 @@ class _Run:
                 name = rule.heads[0].relation
                 made.append(lambda n=name, k=(operator, last), r=rows: (self.waiting[n].setdefault(k, []).append(r), self.done.pop(n, None)))
                 continue
+            items = rule.ordered()
+            read = lambda k, name, items=items: self.get(name) if isinstance(items[k], ast.Aggregate) else self.scan(name)
             for head in rule.heads:
-                rows = self.compiler.rows(rule, head, lambda _, name: self.get(name))
-                made.append(lambda n=head.relation, r=rows, s=self.compiler.distinct_by_shape(rule, head): self._add(n, r, s))
+                rows = self.compiler.rows(rule, head, read)
+                is_set = self.compiler.distinct_by_shape(rule, head) and self.scan(items[0].relation) is self.get(items[0].relation)
+                made.append(lambda n=head.relation, r=rows, s=is_set: self._add(n, r, s))
         for add in made:  # rules of one region never read each other's heads
             add()
 
