@@ -123,6 +123,16 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _BEGINS.reshape(-1)[symbol.astype(np.int32) * _STATES + before] | (symbol >= 8)
 
 
+def readable(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a step, with U+FFFD where bytes are not UTF-8."""
+    try:
+        data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    return data, offsets
+
+
 def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of all tokens' slices, and len+1 offsets of the texts into them."""
     leads = np.flatnonzero((data & 0xC0) != 0x80)
@@ -219,18 +229,20 @@ def encode(docs: DataFrame, ranks: bytes, digest: bool = False) -> DataFrame:
 
     docs: any frame with doc_id and text; other columns are ignored, repeated rows give
     repeated results; null reads as empty, which has no tokens. Special tokens are text.
-    Returns doc_id, n_tokens, ids (array) and offsets (byte at which each token begins);
+    Bytes that are not UTF-8 read as U+FFFD. Returns doc_id, n_tokens, ids (array), offsets
+    (byte at which each token begins) and restored, whether the ids decode to the text again;
     with digest hashes of the ids and of the bytes that they decode to.
     """
     small_batches(docs.sparkSession)
-    out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<long>, offsets array<long>")
+    out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<long>, offsets array<long>, restored boolean")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(ranks)
         for rows, data, offsets in steps(batches):
+            data, offsets = readable(data, offsets)
             cuts, bounds = slices(data, offsets)
             raw, places = data.tobytes(), cuts.tolist()
-            counts, left, right = [], [], []
+            counts, left, right, restored = [], [], [], []
             for i in range(rows.num_rows):
                 own = places[bounds[i] : bounds[i + 1]]
                 packed = b"".join([pairs.packed(raw[a:b]) for a, b in zip(own, [*own[1:], int(offsets[i + 1])])])
@@ -243,8 +255,10 @@ def encode(docs: DataFrame, ranks: bytes, digest: bool = False) -> DataFrame:
                     left.append(ids.astype(np.int64))
                     lengths = np.array([len(pairs.values[x]) for x in ids.tolist()], np.int64)
                     right.append(np.cumsum(lengths) - lengths)
+                    restored.append(pairs.decode(ids) == raw[offsets[i] : offsets[i + 1]])
             kind = pa.string() if digest else pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(left, kind), pa.array(right, kind)], [x.split()[0] for x in out.split(", ")])
+            more = [] if digest else [pa.array(restored, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(left, kind), pa.array(right, kind), *more], [x.split()[0] for x in out.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(of, out)
 

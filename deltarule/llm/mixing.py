@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltarule.llm.common import WORD, n_words, table
+from deltarule.llm.common import WORD, n_words, table, with_checkpoints
 
 #: Hexadecimal digits of the key that name a slice: 4096 slices for each source.
 SLICE_DIGITS = 3
@@ -45,33 +45,41 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
 def allocate(docs: DataFrame, seed: str = "mix", **kind) -> DataFrame:
     """docs with size, source_size, target and taken, and key, the place in the source's order.
 
-    docs: any frame with doc_id, text and source; its other columns stay, unless they have
-    these names. size is the number of words (null text: 0); taken is the number of words
-    the mix takes of the document, repeats counted: whole epochs of its source, and in the
-    last one the documents before the cut, the one at the cut in part, so that a source's
-    taken words are its target rounded. Null sources are a source; rows that repeat are
-    documents of their own. Ids decide the order, so reruns agree.
+    docs: any frame with doc_id, text and source; its other columns stay, but these five
+    replace columns of their names. size is the number of words (null text: 0); taken is the
+    number of words the mix takes of the document, repeats counted: whole epochs of its
+    source, and in the last one the documents before the cut, the one at the cut in part, so
+    that a source's taken words are its target rounded. Null sources are a source; rows that
+    repeat are documents of their own. Ids, sizes and hashes of texts decide the order, so
+    reruns agree. An empty table gives an empty result.
     """
-    added = ("size", "source_size", "target", "taken", "key", "rank", "slice", "before", "inside")
-    sized = docs.drop(*added).withColumn("size", n_words(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = targets(sums, **kind)
-    keyed = sized.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-    own = sources.withColumnRenamed("source", "of")
-    keyed = keyed.join(own, keyed["source"].eqNullSafe(own["of"])).drop("of").withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
-    slices = sized.select("source", F.substring(_key(seed), 1, SLICE_DIGITS).alias("slice"), "size").groupBy("source", "slice").agg(F.sum("size").alias("inside"))
+    made = ("size", "source_size", "target", "taken", "key")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
+    return _placed(_sized(docs, row), seed, kind).select("row.*", *made)
+
+
+def _sized(docs: DataFrame, row: Column) -> DataFrame:
+    """row, id, source, size and a hash of the text; the names of the user's columns stay inside row."""
+    return docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
+
+
+def _placed(sized: DataFrame, seed: str, kind: dict) -> DataFrame:
+    """sized with key, source_size, target and taken; reads it twice."""
+    with_checkpoints(sized.sparkSession)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"))
+    keyed = sized.withColumn("key", key).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    # a row for each source and slice, from one pass over the documents
+    slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("inside")).checkpoint()
+    own = targets(slices.groupBy("source").agg(F.sum("inside").alias("source_size")), **kind).withColumnRenamed("source", "of")
+    keyed = keyed.join(own, keyed["source"].eqNullSafe(own["of"])).drop("of")
     slices = slices.join(own.select("of", "rank"), slices["source"].eqNullSafe(own["of"])).select("rank", "slice", "inside")
     before = F.sum("inside").over(Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("inside")
     placed = keyed.join(slices.select("rank", "slice", before.alias("before")), ["rank", "slice"])
-    within = Window.partitionBy("rank", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("rank", "slice").orderBy("key", "id", "size", "th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("before") + F.sum("size").over(within) - F.col("size")
     epochs, cut = _cut()
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), cut - start))
-    return placed.withColumn("taken", F.when(F.col("source_size") > 0, epochs * F.col("size") + part).otherwise(F.lit(0).cast("long"))).drop("rank", "slice", "before")
-
-
-def _key(seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    return placed.withColumn("taken", F.when(F.col("source_size") > 0, epochs * F.col("size") + part).otherwise(F.lit(0).cast("long")))
 
 
 def _cut() -> tuple[Column, Column]:
@@ -87,23 +95,26 @@ def mix(docs: DataFrame, **kind) -> DataFrame:
     A document at its source's cut comes with its first words only, joined by a space.
     Documents without words are in no source's count; they stay once, as they are.
     """
-    columns = docs.columns
-    found = allocate(docs, **kind)
+    found = _placed(_sized(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns))), kind.pop("seed", "mix"), kind)
     size, taken = F.col("size"), F.col("taken")
     copies = F.when(size == 0, F.lit(1)).otherwise(F.ceil(taken / F.when(size > 0, size))).cast("int")
     rows = found.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     words = (taken - (F.col("copy") - 1) * size).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(words, F.lit(0))), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(words, F.lit(0))), " ")
     shorter = (size > 0) & (words < size)
-    rows = rows.withColumn("text", F.when(shorter, cut).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(shorter, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    text = F.when(shorter, cut).otherwise(F.col("row.text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(shorter, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return allocate(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """The operator over all documents, whose texts are read once: ids, sources and sizes are checkpointed."""
+    with_checkpoints(spark)
+    docs = table(spark, sf_dir, "documents")
+    sized = _sized(docs, F.struct("doc_id")).checkpoint()
+    return _placed(sized, "mix", {}).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

@@ -254,10 +254,11 @@ def representatives(docs: DataFrame, width: int = 5) -> DataFrame:
     larger than every id. Other columns pass through.
     """
     least = _similar_groups(docs, width).groupBy("group").agg(F.min("least").alias("least"))
-    kept = least.select(F.col("least.id").alias("_id"), F.col("least.th").alias("_th")).distinct()
-    keyed = docs.withColumn("_id", _ids()).withColumn("_th", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
-    return keyed.join(kept, ["_id", "_th"], "left_semi").withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    kept = least.select(F.col("least.id").alias("id"), F.col("least.th").alias("th")).distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), _ids().alias("id"), F.xxhash64("text").alias("th"), F.xxhash64(F.to_json(row)).alias("place"))
+    first = F.row_number().over(Window.partitionBy("id", "th").orderBy("place"))
+    return keyed.join(kept, ["id", "th"], "left_semi").withColumn("first", first).filter("first = 1").select("row.*")
 
 
 def _similar_groups(docs: DataFrame, width: int) -> DataFrame:

@@ -64,7 +64,7 @@ def _cut(window: int, digest: bool):
                 if lost[i]:
                     words = [w for w, g in zip(words, gone[bounds[i] : bounds[i + 1]].tolist(), strict=True) if not g]
                 text = b" ".join(words)
-                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
+                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("rest"), pa.array(np.diff(bounds)), pa.array(lost), pa.array(kept, pa.string())],
                 ["rest", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],

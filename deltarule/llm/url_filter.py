@@ -2,8 +2,9 @@
 
 Pattern rules are indexed by their rarest literal token. The tokens of a url fetch the
 candidate rules, and only those run their regular expression. Host and path rules are
-fetched by the suffixes of the host. Both indexes are maps inside the plan: rules are
-configuration, at most MOST_RULES of them, and pages are never shuffled.
+fetched by the suffixes of the host. Up to PLAN_RULES rules are maps inside the plan, and
+pages are never shuffled; more rules are a table, which the tokens and host suffixes of
+each distinct url are joined with, for the same result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from deltarule.llm.common import table
 
-MOST_RULES = 10_000
+#: Rules that a plan holds; beyond, they are a table.
+PLAN_RULES = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,22 +88,48 @@ def judge(pages: DataFrame, hosts: Sequence[HostRule] = HOST_RULES, patterns: Se
 
     Of fitting host rules the longest wins (ties: the name that sorts last) and gives rule
     and verdict; else rule is null and the verdict is block if a pattern is found, else
-    allow. A null url, or one without ``://``, has empty host and path.
+    allow. A null url, or one without ``://``, has empty host and path; equal urls have equal
+    verdicts, and an empty table gives an empty result.
     """
-    if len(hosts) + len(patterns) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules can be held in a plan")
+    made = ("host", "path", "rule", "verdict")
+    kept = [c for c in pages.columns if c not in made]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
     url = F.coalesce(F.col("url"), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
-    host = _a_z(F.regexp_extract(rest, "^[^/?#]*", 0))
-    path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
-    rows = pages.withColumn("host", host).withColumn("path", path)
-    best = _best(hosts)
-    rows = rows.withColumn("_best", best)
-    return (
-        rows.withColumn("rule", F.col("_best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.when(_found(index(pages.select("url"), patterns), url), F.lit("block")).otherwise(F.lit("allow"))))
-        .drop("_best")
-    )
+    if len(hosts) + len(patterns) > PLAN_RULES:
+        judged = _joined(pages.select(url.alias("url")).distinct(), hosts, patterns)
+        rows = pages.select(row, url.alias("url"))
+        # on a hash of the url, so that the rows of a hot url can be split
+        rows = rows.withColumn("by", F.xxhash64("url")).join(judged.withColumn("by", F.xxhash64("url")).withColumnRenamed("url", "of"), "by").filter("url = of")
+        return rows.select("row.*", *made)
+    rows = _parts(pages.select(row, url.alias("url"))).withColumn("best", _best(hosts))
+    block = _found(index(pages.select("url"), patterns), F.col("url"))
+    return rows.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.when(block, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+
+
+def _parts(urls: DataFrame) -> DataFrame:
+    """urls (with url, never null) with host and path."""
+    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
+    return urls.withColumn("host", _a_z(F.regexp_extract(rest, "^[^/?#]*", 0))).withColumn("path", F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
+
+
+def _joined(urls: DataFrame, hosts: Sequence[HostRule], patterns: Sequence[PatternRule]) -> DataFrame:
+    """url (each once), host, path, rule and verdict, by joins with tables of the rules."""
+    spark = urls.sparkSession
+    rows = _parts(urls)
+    held = spark.createDataFrame([(r.host, r.path, len(r.name), r.name, r.verdict) for r in hosts], "at string, begin string, length int, rule string, says string")
+    asked = rows.select("url", "path", F.explode(F.array_distinct(_suffixes())).alias("at"))
+    best = asked.join(held, "at").filter(F.col("path").startswith(F.col("begin"))).groupBy("url").agg(F.max(F.struct("length", "rule", "says")).alias("best"))
+    listed = [(t, p) for t, found in index(urls, patterns).items() for p in found]
+    tokens = urls.select("url", F.explode(_tokens(F.col("url"))).alias("token"))
+    hit = tokens.join(spark.createDataFrame(listed, "token string, pattern string"), "token").filter(F.rlike(_a_z(F.col("url")), F.col("pattern"))).select("url").distinct()
+    rows = rows.join(best, "url", "left").join(hit.withColumn("hit", F.lit(True)), "url", "left")
+    return rows.select("url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+
+
+def _suffixes() -> Column:
+    """The host and each of its parent domains."""
+    labels = F.split("host", "[.]")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def _map(items: dict[str, Column]) -> Column:
@@ -117,9 +145,7 @@ def _best(hosts: Sequence[HostRule]) -> Column:
         by_host.setdefault(rule.host, []).append(rule)
     entry = lambda r: F.struct(F.lit(r.path).alias("path"), F.lit(len(r.name)).alias("length"), F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))
     held = _map({h: F.array(*map(entry, rules)) for h, rules in by_host.items()})
-    labels = F.split("host", "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    found = F.flatten(F.transform(F.filter(suffixes, lambda h: F.map_contains_key(held, h)), lambda h: F.element_at(held, h)))
+    found = F.flatten(F.transform(F.filter(_suffixes(), lambda h: F.map_contains_key(held, h)), lambda h: F.element_at(held, h)))
     fitting = F.filter(found, lambda r: F.col("path").startswith(r["path"]))
     return F.array_max(F.transform(fitting, lambda r: F.struct(r["length"].alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
@@ -134,6 +160,7 @@ def _found(held: dict[str, list[str]], url: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over all pages."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 

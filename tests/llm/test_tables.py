@@ -87,8 +87,33 @@ def test_urls(spark):
     assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).collect()} == cases
     assert url_filter.judge(pages, (), ()).select("verdict").distinct().count() == 1
     assert url_filter.judge(pages.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.judge(pages, url_filter.HOST_RULES * 3000)
+    many = [url_filter.HostRule(f"h{i}.test", "/", "block") for i in range(300)]
+    joined = url_filter.judge(pages.unionByName(pages), (*url_filter.HOST_RULES, *many)).collect()
+    assert len(joined) == 2 * len(cases) and {r.url: (r.host, r.path, r.rule, r.verdict) for r in joined} == cases
+    assert {r.host: r.rule for r in url_filter.judge(spark.createDataFrame([("http://a.h7.test/x",)], "url string"), many).collect()} == {"a.h7.test": "h7.test/"}
+
+
+def test_columns_of_the_user_stay(spark):
+    """Columns with the names that operators use inside keep their values."""
+    from deltarule.llm import simhash
+
+    names = "rank of slice key copy size row id th place first best by before target kept _id _th _best".split()
+    rows = [(i, f"word{i} " * 3, f"s{i % 2}", "http://x.org/a", *(100 * i + k for k in range(len(names)))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, url string, " + ", ".join(f"`{n}` long" for n in names))
+    mine = lambda found, skip=(): {r.doc_id: tuple(r[n] for n in names if n not in skip) for r in found.collect()}
+    expected = lambda skip=(): {r[0]: tuple(v for n, v in zip(names, r[4:], strict=True) if n not in skip) for r in rows}
+    assert mine(simhash.representatives(docs)) == expected() and mine(url_filter.judge(docs)) == expected()
+    mixed = mine(mixing.mix(docs))
+    assert mixed and mixed == {i: v for i, v in expected().items() if i in mixed} and mixing.mix(docs).columns == docs.columns
+    gone = ("size", "target", "key")
+    assert mine(mixing.allocate(docs), gone) == expected(gone)
+
+
+def test_mix_is_the_same_again(frame):
+    """Rows that share id and size but not text keep their place."""
+    rows = [(7, f"a{i} b{i} c{i}", None, "s") for i in range(20)] + [(8, "x y z w", None, "t")]
+    pick = lambda n: Counter((r.text, r.taken) for r in mixing.allocate(frame(rows, n)).collect())
+    assert pick(1) == pick(7)
 
 
 def test_rarest_literal_is_the_index(spark):

@@ -166,3 +166,11 @@ def test_digests(spark, frame):
 
     assert {r.doc_id: r.decoded_sha256 for r in found.collect()} == {1: sha("héllo wörld".encode()), 2: sha(b"")}
     assert found.filter(F.col("n_tokens") == 0).count() == 1
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF6220C3' AS STRING) AS text UNION ALL SELECT 2L, 'fine é'")
+    ranks = bpe.default_ranks()
+    encoded = bpe.encode(docs, ranks)
+    assert all(r.restored for r in encoded.collect())
+    assert {r.doc_id: r.text for r in bpe.decode(encoded, ranks).collect()} == {1: "a\ufffdb \ufffd", 2: "fine é"}
