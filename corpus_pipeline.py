@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens, ids and the byte at which each token begins."""
+    """doc_id, number of tokens, ids, the byte at which each token begins, and whether the ids decode to the text again."""
     return bpe.encode(docs, bpe.default_ranks())
 
 
