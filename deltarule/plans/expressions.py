@@ -10,7 +10,12 @@ from deltarule.errors import RuleError
 from deltarule.text import WORDS, split_top, tokens
 
 #: Function names of rule programs that Spark calls otherwise.
-RENAMED = {"strlen": "length", "cat": "concat", "to_string": "string", "to_number": "int", "ord": "ascii", "len": "size", "starts_with": "startswith"}
+RENAMED = {"strlen": "length", "cat": "concat", "to_string": "string", "to_number": "int", "ord": "ascii", "len": "size", "starts_with": "startswith", "min": "least", "max": "greatest"}
+#: Functions that are more than another name: parameters and the SQL for them. wrapping_abs keeps the least integer.
+WRITTEN = {
+    "clamp": ("greatest({1}, least({2}, {0}))", 3),
+    "wrapping_abs": ("if({0} < 0, coalesce(try_subtract({0} - {0}, {0}), {0}), {0})", 1),
+}
 _RISKY = ("/", "%", " div ", "cast(", "element_at(", "[", "int(", "mod(")
 
 
@@ -49,6 +54,8 @@ class Expressions:
                 pass
             elif kind == "name" and before == ".":
                 out.append(value)
+            elif kind == "name" and after == "(" and value in WRITTEN:
+                i = self._written(parts, i, out)
             elif kind == "name" and after == "(":
                 out.append(RENAMED.get(value, value))
             elif kind == "name" and value.lower() not in WORDS:
@@ -88,6 +95,16 @@ class Expressions:
         out.append(f"cast(named_struct({', '.join(fields)}) as {self.program.types[enum].name})")
         return end
 
+    def _written(self, parts: list[tuple[str, str]], i: int, out: list[str]) -> int:
+        form, count = WRITTEN[parts[i][1]]
+        begin = next(j for j in range(i + 1, len(parts)) if parts[j][1] == "(")
+        end = self._close(parts, begin)
+        given = [x for x in split_top("".join(v for _, v in parts[begin + 1 : end]), ",") if x.strip()]
+        if len(given) != count:
+            raise RuleError(f"{parts[i][1]} takes {count} values")
+        out.append(form.format(*(f"({self.sql(x)})" for x in given)))
+        return end
+
     @staticmethod
     def _next(parts: list[tuple[str, str]], i: int) -> str:
         while i < len(parts) and parts[i][1].isspace():

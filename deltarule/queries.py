@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from deltarule.functions.registry import Functions
+from deltarule.operators.order import first_seen, ordered
 from deltarule.program import Program
 from deltarule.programs import library
 
@@ -24,6 +25,7 @@ TABLES: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "part": ("relation part(i64, String, String, i32);", "part", ("p_partkey", "p_name", "p_brand", "p_size")),
     "orders": ("relation orders(i64, i64, String, String, f64);", "orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")),
     "line": ("relation line(i64, i64, i64, i32, String, f64);", "lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity")),
+    "dated": ("relation dated(i64, i64, String, f64);", "orders", ("o_orderkey", "o_custkey", "date_format(o_orderdate, 'yyyy-MM-dd')", "o_totalprice")),
     "event": ("relation event(i64, i64, String, f64);", "events", ("event_id", "user_id", "event_type", "value")),
     "turn": ("relation turn(i64, i64, String);", "conversations", ("conv_id", "turn", "role")),
     "vector": ("relation vector(i64, Vec<f32>);", "embeddings", ("vec_id", "embedding")),
@@ -38,13 +40,15 @@ class RuleQuery:
     inputs: tuple[str, ...]
     output: str = "out"
     functions: Callable[[], Functions] = field(default=Functions)
+    finish: Callable[[DataFrame], DataFrame] | None = None
 
     def program(self) -> Program:
         return Program.parse(" ".join(TABLES[i][0] for i in self.inputs) + self.rules, functions=self.functions())
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         tables = {i: spark.read.parquet(f"{sf_dir}/{TABLES[i][1]}.parquet").selectExpr(*TABLES[i][2]) for i in self.inputs}
-        return self.program().run(spark, tables, [self.output])[self.output].toDF(*self.columns.split())
+        found = self.program().run(spark, tables, [self.output])[self.output].toDF(*self.columns.split())
+        return self.finish(found) if self.finish else found
 
 
 QUERIES: dict[str, RuleQuery] = {}
@@ -179,6 +183,71 @@ add("points_to", "line", library.POINTS_TO + "addr(o * 10 + 1, o * 10 + n) :- li
 add("null_flow", "part", GRAPH + "relation null_edge(i64, i64); relation out(i64, i64); null_edge(x, y) :- edge(x, y, w), if w > 48; out(x, y) :- null_edge(x, y); out(x, y) :- out(x, m), edge(m, y, w), if w > 30;", "x y",
     f"WITH RECURSIVE {EDGES}, r AS (SELECT x, y FROM edge WHERE w > 48 UNION SELECT r.x, edge.y FROM r JOIN edge ON r.y = edge.x WHERE w > 30) SELECT x, y FROM r")
 
+# Order, first rows and first appearance, put on a result.
+add("order_by", "customer", "relation out(i64, f64); out(c, b) :- customer(c, 7, _, b);", "c b", "SELECT c_custkey AS c, c_acctbal AS b FROM customer WHERE c_nationkey = 7 ORDER BY b DESC, c", finish=lambda rows: ordered(rows, "b desc"))
+add("order_limit", "orders", "relation out(i64, f64); out(o, p) :- orders(o, _, 'F', _, p);", "o p", "SELECT o_orderkey AS o, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F' ORDER BY p DESC, o LIMIT 3", finish=lambda rows: ordered(rows, "p desc", limit=3))
+add("order_tuple_limit", "supplier", "relation out(i32, f64, i64); out(n, b, s) :- supplier(s, n, b);", "n b s", "SELECT s_nationkey AS n, s_acctbal AS b, s_suppkey AS s FROM supplier ORDER BY n, b DESC, s LIMIT 12", finish=lambda rows: ordered(rows, "n", "b desc", "s", limit=12))
+add("first_seen_ordinals", "event", "relation out(i64, i64); out(u, e) :- event(e, u, _, _);", "u e", "SELECT u, row_number() OVER (ORDER BY e) - 1 AS ord FROM (SELECT user_id AS u, min(event_id) AS e FROM events GROUP BY user_id)", finish=lambda rows: first_seen(rows, "u", "e"))
+# More functions and patterns.
+add("int_fns", "part", "relation out(i64, i32, i32, i32, i32, i32, i64); out(k, min(s, 20), max(s, 20), clamp(s, 10, 30), abs(s - 25), wrapping_abs(s - 40), round(k / 7)) :- part(k, _, _, s);", "k lo hi mid dist wdist q",
+    "SELECT p_partkey AS k, least(p_size, 20) AS lo, greatest(p_size, 20) AS hi, greatest(10, least(30, p_size)) AS mid, abs(p_size - 25) AS dist, abs(p_size - 40) AS wdist, round(p_partkey / 7)::BIGINT AS q FROM part")
+add("bytes_and_emptiness", "part", "relation out(i64, i32, bool); out(k, octet_length(n), length(replace(b, 'Brand', '')) = 0) :- part(k, n, b, _), if length(n) > 0;", "k bytes bare", "SELECT p_partkey AS k, strlen(p_name)::INT AS bytes, length(replace(p_brand, 'Brand', '')) = 0 AS bare FROM part WHERE length(p_name) > 0")
+add("iso_dates", "dated", "relation out(i64, String); out(o, d) :- dated(o, _, d, _), if d >= '1995-03-01', if d < '1996-01-15';", "o d", "SELECT o_orderkey AS o, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1996-01-15'")
+add("vec_literals", "part", "relation bag(i64, Vec<i32>); relation out(i64, i32, i32); bag(k, [s, s % 7, k % 3]) :- part(k, _, _, s); out(k, len(v), element_at(v, 2)) :- bag(k, v);", "k n second", "SELECT p_partkey AS k, 3 AS n, (p_size % 7)::INT AS second FROM part")
+add("slice_patterns", "part", "relation bag(i64, Vec<i32>); relation out(i64, i32, i32); bag(k, [s, s % 7, s % 3]) :- part(k, _, _, s); out(k, a, c) :- bag(k, v), if let [a, 0..=3, c] = v; out(k, c, a) :- bag(k, v), if let [a @ 40.., .., c] = v;", "k a c",
+    "SELECT p_partkey AS k, p_size AS a, (p_size % 3)::INT AS c FROM part WHERE p_size % 7 <= 3 UNION SELECT p_partkey, (p_size % 3)::INT, p_size FROM part WHERE p_size >= 40")
+add("range_and_at_patterns", "part", "relation out(i64, i32, String); out(k, n, 'low') :- part(k, _, _, s), if let n @ 1..10 = s; out(k, n, 'top') :- part(k, _, _, s), if let n @ 45..=50 = s;", "k n c",
+    "SELECT p_partkey AS k, p_size AS n, CASE WHEN p_size < 10 THEN 'low' ELSE 'top' END AS c FROM part WHERE p_size BETWEEN 1 AND 9 OR p_size BETWEEN 45 AND 50")
+add("field_patterns", "part", "relation item(i64, struct<size:int,brand:string>); relation out(i64, i32, String); item(k, named_struct('size', s, 'brand', b)) :- part(k, _, b, s); out(k, size, b) :- item(k, i), if let Item { size, brand: b } = i, if size > 30;", "k size b", "SELECT p_partkey AS k, p_size AS size, p_brand AS b FROM part WHERE p_size > 30")
+add("agg_wrapped", "part", "relation out(String, i32); out(b, round(m)) :- agg m = mean(s) in part(_, _, b, s);", "b m", "SELECT p_brand AS b, (sum(DISTINCT p_size) // count(DISTINCT p_size))::INT AS m FROM part GROUP BY p_brand")
+add("let_block", "part", "relation out(i64, String); out(k, c) :- part(k, _, _, s), let twice = s * 2, let c = CASE WHEN twice > 60 THEN 'over' WHEN twice = 60 THEN 'even' ELSE 'under' END;", "k c", "SELECT p_partkey AS k, CASE WHEN p_size > 30 THEN 'over' WHEN p_size = 30 THEN 'even' ELSE 'under' END AS c FROM part")
+add("generator_function", "part", "relation out(i64, String); out(k, w) :- part(k, n, _, _), for w in split(n, ' ');", "k w", "SELECT DISTINCT p_partkey AS k, unnest(string_split(p_name, ' ')) AS w FROM part")
+# Longer programs, over graphs that orders and conversations make.
+add("messages_of_neighbours", "customer dated part line", "relation asker(i64, String); relation near(i64, i64); relation note(i64, i64, String); relation title(i64, String); relation out(i64, String, i64, String, String);"
+    "asker(1, '1997-06-30'); near(a, b) :- asker(a, _), customer(a, n, _, _), customer(b, n, _, _), if a <> b;"
+    "note(o, p, CASE WHEN f = 'N' THEN '' ELSE f END) :- line(o, p, _, _, f, _); title(p, n) :- part(p, n, _, _);"
+    "out(c, m, o, d, d) :- asker(a, last), near(a, c), dated(o, c, d, v), customer(c, _, m, _), if v > 400000, if d < last;"
+    "out(c, m, o, x, d) :- asker(a, last), near(a, c), dated(o, c, d, _), note(o, _, x), customer(c, _, m, _), if length(x) > 0, if d < last;"
+    "out(c, m, o, n, d) :- asker(a, last), near(a, c), dated(o, c, d, _), note(o, p, x), title(p, n), customer(c, _, m, _), if length(x) = 0, if d < last;", "c segment o content day",
+    "WITH n AS (SELECT b.c_custkey AS c, b.c_mktsegment AS segment FROM customer a JOIN customer b USING (c_nationkey) WHERE a.c_custkey = 1 AND b.c_custkey <> 1), o AS (SELECT c, segment, o_orderkey AS o, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS v FROM n JOIN orders ON o_custkey = c WHERE o_orderdate < TIMESTAMP '1997-06-30') "
+    "SELECT c, segment, o, day AS content, day FROM o WHERE v > 400000 UNION SELECT c, segment, o, l_returnflag, day FROM o JOIN lineitem ON l_orderkey = o WHERE l_returnflag <> 'N' UNION SELECT c, segment, o, p_name, day FROM o JOIN lineitem ON l_orderkey = o JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'N'")
+_KNOWN = "WHERE NOT EXISTS (SELECT 1 FROM recurring.q h WHERE h.k = c.k AND h.x = c.x AND h.y = c.y)"
+add("aliases", "line", library.ALIASES + "copies(o * 10 + n, o * 10 + n - 1) :- line(o, _, _, n, 'R', _), if n > 1; deref(o * 10 + n div 3, o * 10 + n) :- line(o, _, _, n, 'A', _);", "x y",
+    "WITH RECURSIVE cp AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS x, l_orderkey * 10 + l_linenumber - 1 AS y FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 1), dr AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber // 3 AS p, l_orderkey * 10 + l_linenumber AS v FROM lineitem WHERE l_returnflag = 'A'), "
+    "named AS (SELECT x FROM cp UNION SELECT y FROM cp UNION SELECT p FROM dr UNION SELECT v FROM dr), q(k, x, y) USING KEY (k, x, y) AS (SELECT 'f', x, x FROM named UNION ALL SELECT 'f', x, y FROM cp UNION (SELECT DISTINCT k, x, y FROM ("
+    "SELECT 'f' AS k, a.x, b.y FROM recurring.q a JOIN recurring.q b ON a.k = 'f' AND b.k = 'f' AND a.y = b.x UNION SELECT 'f', cp.x, m.y FROM cp JOIN recurring.q m ON m.k = 'm' AND m.x = cp.y "
+    "UNION SELECT 'm', a.v, b.v FROM dr a JOIN recurring.q w ON w.k = 'v' AND w.x = a.p JOIN dr b ON b.p = w.y UNION SELECT 'v', a.x, b.x FROM recurring.q a JOIN recurring.q b ON a.k = 'f' AND b.k = 'f' AND a.y = b.y "
+    "UNION SELECT 'v', a.x, b.x FROM recurring.q a JOIN recurring.q m ON a.k = 'f' AND m.k = 'm' AND m.x = a.y JOIN recurring.q b ON b.k = 'f' AND b.y = m.y) c " + _KNOWN + ")) SELECT x, y FROM q WHERE k = 'v'", output="same_value")
+add("balanced_brackets", "line", library.BALANCED + "open(1, 2); open(3, 4); edge(o * 10 + n, o * 10 + n + 1, CASE WHEN f = 'A' THEN 1 WHEN f = 'R' THEN 2 WHEN q > 25 THEN 3 ELSE 4 END) :- line(o, _, _, n, f, q);", "x y",
+    "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS x, l_orderkey * 10 + l_linenumber + 1 AS y, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 2 WHEN l_quantity > 25 THEN 3 ELSE 4 END AS b FROM lineitem), p AS (SELECT 1 AS a, 2 AS b UNION SELECT 3, 4), "
+    "q(k, x, y) USING KEY (k, x, y) AS (SELECT DISTINCT 'b', s.x, t.y FROM e s JOIN p ON s.b = p.a JOIN e t ON t.x = s.y AND t.b = p.b UNION (SELECT DISTINCT k, x, y FROM (SELECT 'b' AS k, s.x, t.y FROM e s JOIN p ON s.b = p.a JOIN recurring.q m ON m.x = s.y JOIN e t ON t.x = m.y AND t.b = p.b "
+    "UNION SELECT 'b', a.x, b.y FROM recurring.q a JOIN recurring.q b ON a.y = b.x) c " + _KNOWN + ")) SELECT x, y FROM q", output="match")
+add("ontology", "nation supplier region", "relation is_a(i64, i64); relation has(i64, i32, i64); relation narrower(i32, i32); relation chain(i32, i32, i32); relation some(i32, i64, i64); relation both(i64, i64, i64); relation out(i64, i64);"
+    "is_a(1000 + s, 100 + n) :- supplier(s, n, _); is_a(100 + n, r) :- nation(n, _, r); has(1000 + s, 1, 100 + s % 25) :- supplier(s, _, _); has(100 + n, 2, r) :- nation(n, _, r);"
+    "narrower(1, 3); chain(3, 2, 4); some(4, r, 50 + r) :- region(r, _); both(50 + r, 100 + n, 70 + r) :- nation(n, _, r);"
+    "is_a(x, z) :- is_a(x, y), is_a(y, z); is_a(x, z) :- is_a(x, y), is_a(x, w), both(y, w, z); is_a(x, z) :- has(x, r, y), some(r, y, z);"
+    "has(x, r, z) :- is_a(x, y), has(y, r, z); has(x, s, y) :- has(x, r, y), narrower(r, s); has(x, t, z) :- has(x, r, y), has(y, s, z), chain(r, s, t); out(x, y) :- is_a(x, y);", "x y",
+    "WITH RECURSIVE b AS (SELECT DISTINCT 50 + n_regionkey AS y, 100 + n_nationkey AS w, 70 + n_regionkey AS z FROM nation), q(k, x, y) USING KEY (k, x, y) AS (SELECT 0, 1000 + s_suppkey, 100 + s_nationkey FROM supplier UNION ALL SELECT 0, 100 + n_nationkey, n_regionkey FROM nation UNION ALL SELECT 1, 1000 + s_suppkey, 100 + s_suppkey % 25 FROM supplier UNION ALL SELECT 2, 100 + n_nationkey, n_regionkey FROM nation "
+    "UNION (SELECT DISTINCT k, x, y FROM (SELECT d.k, a.x, d.y FROM recurring.q a JOIN recurring.q d ON a.k = 0 AND a.y = d.x UNION SELECT 0, a.x, b.z FROM recurring.q a JOIN recurring.q d ON a.k = 0 AND d.k = 0 AND a.x = d.x JOIN b ON b.y = a.y AND b.w = d.y UNION SELECT 0, x, 50 + y FROM recurring.q WHERE k = 4 AND y IN (SELECT r_regionkey FROM region) "
+    "UNION SELECT 3, x, y FROM recurring.q WHERE k = 1 UNION SELECT 4, a.x, d.y FROM recurring.q a JOIN recurring.q d ON a.k = 3 AND d.k = 2 AND a.y = d.x) c " + _KNOWN + ")) SELECT x, y FROM q WHERE k = 0")
+add("sequence_order", "turn", "relation child(i64, i64, i64); relation younger(i64, i64, i64); relation between(i64, i64, i64); relation beside(i64, i64, i64); relation first(i64, i64, i64); relation above(i64, i64, i64); relation after(i64, i64, i64); relation shown(i64, i64); relation skip(i64, i64, i64); relation out(i64, i64, i64);"
+    "child(c, t, (t - 1) div 2) :- turn(c, t, _), if t > 0; younger(c, a, b) :- child(c, a, p), child(c, b, p), if a > b; between(c, a, b) :- younger(c, a, m), younger(c, m, b);"
+    "beside(c, a, b) :- younger(c, a, b), !between(c, a, b); first(c, p, a) :- child(c, a, p), !younger(c, _, a);"
+    "above(c, a, b) :- beside(c, a, b); above(c, a, b) :- child(c, a, p), !beside(c, a, _), above(c, p, b); after(c, p, a) :- first(c, p, a); after(c, a, b) :- turn(c, a, _), !first(c, a, _), above(c, a, b);"
+    "shown(c, t) :- turn(c, t, r), if r <> 'assistant'; skip(c, a, b) :- after(c, a, b); skip(c, a, d) :- skip(c, a, b), !shown(c, b), after(c, b, d); out(c, a, b) :- shown(c, a), skip(c, a, b), shown(c, b);", "c a b",
+    "WITH RECURSIVE w AS (SELECT conv_id AS c, turn AS t, role, [0::BIGINT] AS path FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, turn, x.role, list_append(path, -turn) FROM w JOIN conversations x ON conv_id = c AND turn > 0 AND (turn - 1) // 2 = t), v AS (SELECT c, t AS a, lead(t) OVER (PARTITION BY c ORDER BY path) AS b FROM w WHERE role <> 'assistant') SELECT c, a, b FROM v WHERE b IS NOT NULL")
+add("loans", "line", "relation at(i64, i64); relation issue(i64, i64, i64); relation step(i64, i64); relation sub(i64, i64, i64); relation killed(i64, i64); relation alive(i64, i64); relation ends(i64, i64); relation holds(i64, i64, i64); relation out(i64, i64);"
+    "at(o * 10 + n, o) :- line(o, _, _, n, _, _); step(p, p + 1) :- at(p, o), at(p + 1, o); issue(s % 4, o * 10 + n, o * 10 + n) :- line(o, _, s, n, 'A', _); sub(s % 4, (s + 1) % 4, o * 10 + n) :- line(o, _, s, n, 'R', _);"
+    "killed(l, o * 10 + n) :- issue(_, l, _), at(l, o), line(o, _, _, n, _, q), if q > 45; alive(r, p) :- at(p, _), for r in 0..4, if (p + r) % 5 <> 0; ends(l, o * 10 + n) :- issue(_, l, _), at(l, o), line(o, _, _, n, 'N', _);"
+    "holds(r, l, p) :- issue(r, l, p); holds(s, l, p) :- holds(r, l, p), sub(r, s, p); holds(r, l, q) :- holds(r, l, p), !killed(l, p), step(p, q), alive(r, q); out(l, p) :- holds(_, l, p), ends(l, p);", "l p",
+    "WITH RECURSIVE li AS (SELECT l_orderkey * 10 + l_linenumber AS p, l_orderkey AS o, l_suppkey % 4 AS s, (l_suppkey + 1) % 4 AS s2, l_returnflag AS f, l_quantity AS q FROM lineitem), spot AS (SELECT DISTINCT p, o FROM li), issue AS (SELECT DISTINCT s AS r, p AS l, o FROM li WHERE f = 'A'), killed AS (SELECT DISTINCT l, p FROM issue JOIN li USING (o) WHERE q > 45), "
+    "h AS (SELECT r, l, l AS p FROM issue UNION (SELECT n.r, n.l, n.p FROM (SELECT li.s2 AS r, h.l, h.p FROM h JOIN li ON li.p = h.p AND li.f = 'R' AND li.s = h.r UNION SELECT h.r, h.l, b.p FROM h JOIN spot a ON a.p = h.p JOIN spot b ON b.p = h.p + 1 AND b.o = a.o WHERE (b.p + h.r) % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM killed k WHERE k.l = h.l AND k.p = h.p)) n)) "
+    "SELECT DISTINCT l, h.p FROM h JOIN li ON li.p = h.p AND li.f = 'N' JOIN spot ON spot.p = l AND spot.o = li.o")
+add("lists_in_recursion", "region", "relation grown(Vec<i32>, i32); relation out(i32, i32, i32); grown([r], 0) :- region(r, _); grown(concat(l, [h + 1]), h + 1) :- grown(l, h), if h < 5; out(element_at(l, 1), len(l), h) :- grown(l, h);", "r n h", "SELECT r_regionkey AS r, (h + 1)::INT AS n, h::INT AS h FROM region, range(0, 6) t(h)")
+add("generator_in_recursion", "nation", "relation out(i32, i32); out(n, n % 3) :- nation(n, _, _); out(n, y) :- out(n, x), for y in x + 2..x + 4, if y < 15;", "n y", "WITH RECURSIVE w AS (SELECT n_nationkey AS n, (n_nationkey % 3)::INT AS y FROM nation UNION SELECT n, (y + d)::INT FROM w, range(2, 4) t(d) WHERE y + d < 15) SELECT n, y FROM w")
+add("least_of_all_paths", "turn", "relation way(i64, i64, i64); relation out(i64, i64, i64); way(c, 0, 0) :- turn(c, 0, _); way(c, y, d + (x * 3 + 2) % 5) :- way(c, x, d), turn(c, x + 1, _), let y = x + 1; way(c, y, d + (x * 2 + 4) % 7) :- way(c, x, d), turn(c, x + 2, _), let y = x + 2; out(c, t, m) :- agg m = min(d) in way(c, t, d);", "c t m",
+    "WITH RECURSIVE w AS (SELECT conv_id AS c, 0::BIGINT AS t, 0::BIGINT AS d FROM conversations WHERE turn = 0 UNION SELECT c, turn, d + CASE turn - t WHEN 1 THEN (t * 3 + 2) % 5 ELSE (t * 2 + 4) % 7 END FROM w JOIN conversations ON conv_id = c AND turn - t IN (1, 2)) SELECT c, t, min(d) AS m FROM w GROUP BY c, t")
+
 
 def queries() -> dict[str, RuleQuery]:
     return dict(QUERIES)
