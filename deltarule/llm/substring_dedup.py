@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltarule.llm.common import steps, table, word_bounds
-from deltarule.llm.repeats import Plan, covered, spans, with_repeats
+from deltarule.llm.common import table
+from deltarule.llm.windows import cut_earlier
 
 OUT = "rest {}, n_words long, n_removed long, kept_text string"
 
@@ -20,7 +19,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """Removes words that stand in a passage of ``window`` words known from an earlier document.
 
     docs: any frame with doc_id and text; other columns are ignored. Rabin-Karp hashes
-    of every window are compared as ``repeats`` describes; a word goes if some window
+    of every window are counted as ``windows`` describes; a word goes if some window
     over it also starts in a document with a smaller id (a null id counts as largest).
     Null, empty or short texts lose nothing; of rows with one id none counts as earlier,
     so equal rows have equal results. An empty table gives an empty result.
@@ -43,32 +42,28 @@ def cut(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def _run(docs: DataFrame, window: int, digest: bool, keep: list[str]) -> DataFrame:
-    plan = Plan("word", window, max(2, window // 2), earlier=True)
     out = OUT.format(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep))).schema[0].dataType.simpleString())
-    return with_repeats(docs, plan, keep).mapInArrow(_cut(window, digest), out.replace("kept_text", "kept_sha256") if digest else out)
-
-
-def _cut(window: int, digest: bool):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in steps(batches):
-            first, last, bounds = word_bounds(data, offsets)
-            gone = covered(*spans(rows.column("spans")), bounds, window)
-            lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[bounds])
-            raw, texts = data.tobytes(), rows.column("text")
-            kept = []
-            for i in range(rows.num_rows):
-                if not lost[i] and not digest:
-                    kept.append(texts[i].as_py())
-                    continue
-                words = raw[offsets[i] : offsets[i + 1]].split()
-                if lost[i]:
-                    words = [w for w, g in zip(words, gone[bounds[i] : bounds[i + 1]].tolist(), strict=True) if not g]
-                text = b" ".join(words)
-                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rest"), pa.array(np.diff(bounds)), pa.array(lost), pa.array(kept, pa.string())],
-                ["rest", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
-            )
+    return cut_earlier(docs, window, keep, _cut(digest), out.replace("kept_text", "kept_sha256") if digest else out)
+
+
+def _cut(digest: bool):
+    def of(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+        lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[bounds])
+        raw, texts = data.tobytes(), rows.column("text")
+        kept = []
+        for i in range(rows.num_rows):
+            if not lost[i] and not digest:
+                kept.append(texts[i].as_py())
+                continue
+            words = raw[offsets[i] : offsets[i + 1]].split()
+            if lost[i]:
+                words = [w for w, g in zip(words, gone[bounds[i] : bounds[i + 1]].tolist(), strict=True) if not g]
+            text = b" ".join(words)
+            kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
+        return pa.RecordBatch.from_arrays(
+            [rows.column("rest"), pa.array(np.diff(bounds)), pa.array(lost.astype(np.int64)), pa.array(kept, pa.string())],
+            ["rest", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
+        )
 
     return of
 
