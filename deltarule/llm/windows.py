@@ -29,6 +29,8 @@ from deltarule.llm.common import NO_ID, Rolling, mix, small_batches, steps, word
 
 #: Bytes of text in a chunk, on average; a longer document makes its chunk longer.
 CHUNK_BYTES = 8 << 20
+#: Partitions of a shuffle; beyond it a partition holds several chunks, one after the other.
+MOST_TASKS = 50_000
 SENT = "chunk int, range int, hashes binary, more binary, ids binary, owner binary"
 ANSWERS = "chunk int, range int, bits binary"
 
@@ -183,8 +185,11 @@ def cut_earlier(docs: DataFrame, width: int, keep: list[str], cut: Cut, out: str
     size = base.filter(long).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = int(max(1, -(-size // CHUNK_BYTES)))
     chunk = F.pmod(F.xxhash64("rk", "text", F.to_json("rest")), F.lit(parts)).cast("int")
-    spread = base.filter(long).withColumn("chunk", chunk)
-    answers = spread.groupBy("chunk").applyInArrow(_send(width, parts), SENT).groupBy("range").applyInArrow(_answer, ANSWERS)
+    # a stated number of partitions is not coalesced: a task sorts and holds few chunks or ranges
+    tasks = min(parts, MOST_TASKS)
+    spread = base.filter(long).withColumn("chunk", chunk).repartition(tasks, "chunk")
+    sent = spread.groupBy("chunk").applyInArrow(_send(width, parts), SENT).repartition(tasks, "range")
+    answers = sent.groupBy("range").applyInArrow(_answer, ANSWERS)
     schema = to_arrow_schema(StructType.fromDDL(out))  # grouped Arrow results must agree in nullability too
     done = spread.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(width, parts, cut, schema), out)
 
