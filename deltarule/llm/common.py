@@ -6,6 +6,7 @@ bytes never occur inside a longer code point, so bytes and characters agree.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -36,6 +37,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Gives memory that earlier groups of a Python worker left free back to the system, where glibc allows it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def with_checkpoints(spark: SparkSession) -> None:
     """Uses the session's spark.checkpoint.dir; sets a temporary one only if there is none."""
     context = spark.sparkContext

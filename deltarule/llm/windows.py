@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from deltarule.llm.common import NO_ID, Rolling, mix, small_batches, steps, word_bounds, word_hashes
+from deltarule.llm.common import NO_ID, Rolling, mix, release, small_batches, steps, word_bounds, word_hashes
 
 #: Bytes of text in a chunk, on average; a longer document makes its chunk longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Partitions of a shuffle; beyond it a partition holds several chunks, one after the other.
 MOST_TASKS = 50_000
 SENT = "chunk int, range int, hashes binary, more binary, ids binary, owner binary"
@@ -76,7 +76,7 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _values(raw: bytes, kind: type) -> np.ndarray:
+def _values(raw: bytes | pa.Buffer, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
@@ -103,6 +103,7 @@ def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 def _send(width: int, ranges: int):
     def of(chunk: pa.Table) -> pa.Table:
+        release()
         found = _hashed(chunk.to_batches(), width)
         firsts = found.order[found.starts]
         hashes, more, least = found.hashes[firsts], found.more[firsts], found.least_ids()
@@ -126,13 +127,20 @@ def _send(width: int, ranges: int):
 
 def _answer(sent: pa.Table) -> pa.Table:
     """One range: which hashes of each chunk have a smaller id in another chunk."""
-    rows = [tuple(x.as_py() for x in (sent.column(c)[i] for c in ("hashes", "more", "ids", "owner"))) for i in range(sent.num_rows)]
-    hashes = [np.cumsum(_values(h, np.uint64), dtype=np.uint64) for h, _, _, _ in rows]
-    ids = [np.frombuffer(i, np.int64)[_values(o, np.uint32)] for _, _, i, o in rows]
-    found = Windows.of(np.concatenate(ids), np.concatenate(hashes), np.concatenate([_values(m, np.uint16) for _, m, _, _ in rows]))
+    release()
+    columns = {c: sent.column(c).combine_chunks() for c in ("hashes", "more", "ids", "owner")}
+    raw = lambda c, i: columns[c][i].as_buffer()
+    ends = np.cumsum([raw("hashes", i).size // 8 for i in range(sent.num_rows)])
+    hashes, more, ids = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint16), np.empty(ends[-1], np.int64)
+    for i, end in enumerate(ends):
+        piece = slice(ends[i - 1] if i else 0, end)
+        np.cumsum(_values(raw("hashes", i), np.uint64), out=hashes[piece])
+        more[piece] = _values(raw("more", i), np.uint16)
+        ids[piece] = np.frombuffer(raw("ids", i), np.int64)[_values(raw("owner", i), np.uint32)]
+    found = Windows.of(ids, hashes, more)
     later = np.zeros(len(found.order), bool)
     later[found.order] = found.ids[found.order] > np.repeat(found.least_ids(), found.sizes())
-    parts = np.split(later, np.cumsum([len(h) for h in hashes])[:-1])
+    parts = np.split(later, ends[:-1])
     kept = [i for i, p in enumerate(parts) if p.any()]
     return pa.table({
         "chunk": sent.column("chunk").take(pa.array(kept, pa.int64())), "range": sent.column("range").take(pa.array(kept, pa.int64())),
@@ -142,6 +150,7 @@ def _answer(sent: pa.Table) -> pa.Table:
 
 def _apply(width: int, ranges: int, cut: Cut, schema: pa.Schema):
     def of(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         batches = chunk.to_batches()
         found = _hashed(batches, width)
         cuts = _ranges(found.hashes[found.order[found.starts]], ranges)
