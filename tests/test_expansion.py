@@ -51,14 +51,33 @@ def test_trees(spark, seen, step):
 
 
 def test_without_keys_all_rounds_run(spark, seen):
-    """Nodes of two parents, and nulls."""
+    """Nodes of two parents."""
     draw = random.Random(6)
     up = list({(i, draw.randrange(i)) for i in range(1, 30) for _ in range(2)})
     assert rows(spark, UP + STEP, {"up": up}) == naive(up)
-    nulls = [(1, 0), (2, 0), (None, 0), (3, None), (4, None), (5, 1), (6, 2)]
-    found = Program.parse(UP + STEP).run(spark, {"up": nulls}, ["out"])["out"].collect()
-    assert {tuple(r) for r in found} == {(1, 2), (2, 1), (5, 6), (6, 5)} and len(found) == 4
-    assert seen[1] == [False, False]
+    assert seen[1] == [False]
+
+
+FIRST = {
+    "up": "out(x, y) :- up(x, p), up(y, p), if x <> y;",
+    "alike": "out(x, y) :- up(x, p), up(y, p);",
+    "parents": "out(x, p) :- up(x, p);",
+    "both": "out(x, p) :- up(x, p); out(x, y) :- up(x, p), up(y, p), if x <> y;",
+    "joined": "out(x, y) :- up(x, p), up(x, q), up(y, q);",
+}
+
+
+@pytest.mark.parametrize("first", FIRST)
+def test_nulls(spark, seen, monkeypatch, first):
+    """As all rounds do: a null is a value of a row, and equals nothing in a join."""
+    draw = random.Random(8)
+    up = [(i, draw.choice([None, *range(max(1, i // 2))])) for i in range(1, 25)] + [(None, 2)]
+    text = "relation up(i64, i64); relation out(i64, i64);" + FIRST[first] + STEP
+    run = lambda: sorted((tuple(r) for r in Program.parse(text).run(spark, {"up": up}, ["out"])["out"].collect()), key=repr)
+    found = run()
+    assert seen[1] == [True]
+    monkeypatch.setattr("deltarule.program.expansion_of", lambda *_: None)
+    assert found == run() and any(None in r for r in found)
 
 
 def test_other_first_rules(spark, seen):
@@ -81,6 +100,7 @@ def test_other_first_rules(spark, seen):
         "relation e(i64, i64); relation out(i64, i64); out(x, y) :- e(x, y); out(x, z) :- out(x, y), e(y, z);",
         UP + STEP + "relation more(i64); more(x) :- out(x, _);",
         UP + "out(1, 2);" + STEP,
+        UP + "relation other(i64, i64); out(x, p) :- up(x, p), other(x, a);" + STEP,
         UP + "out(x, y) :- up(x, p), out(p, q), up(y, q), if p + q > 3;",
         UP + "out(x, y) :- up(x, p), out(p, q), up(y, q), !up(x, q);",
         UP + "out(x, y) :- up(x, p), out(p, q), up(y, _);",
